@@ -108,7 +108,7 @@ def fuzzy_offset_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("""select id, lower(trim(display_name)) as key, regexp_replace(original_name, '(.)\\.[^.]*$', '\\1') as base, regexp_extract(original_name, '.\\.([^./]+)$', 1) as ext,
   case when length(display_name) > 6 then left(display_name, 6) || '...' else display_name end as short,
   case when source_bytes >= 1024 then printf('%.1f', floor(source_bytes * 10 / 1024 + 0.5) / 10) || ' KB' else source_bytes || ' B' end as size,
-  lpad(cast(source_bytes // 60 as varchar), greatest(2, length(cast(source_bytes // 60 as varchar))), '0') || ':' || lpad(cast(source_bytes % 60 as varchar), 2, '0') as clock,
+  lpad(cast(source_bytes // 60 as varchar), cast(greatest(2, length(cast(source_bytes // 60 as varchar))) as integer), '0') || ':' || lpad(cast(source_bytes % 60 as varchar), 2, '0') as clock,
   '#' || upper(lpad(to_hex(source_bytes % 16777216), 6, '0')) as colour, 'Người nói ' || (source_bytes % 7 + 1) as label from fx_library""", "fx_library"))
 def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("source_bytes")
