@@ -79,11 +79,11 @@ def weighted_stats_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("label", "dim", _r(mean).alias("mean"), _r(F.sqrt(F.greatest(F.lit(0.0), ss / (F.col("v1") - F.col("v2") / F.col("v1") + 1e-8)))).alias("std"))
 
 
-@query(sql("select item_id, frame_no, round(prob - avg(prob) over (partition by item_id, frame_no % 8), 6) as centred from fx_frames", "fx_frames"))
+@query(sql("select item_id, frame_no, round(prob - avg(prob) over (partition by item_id, frame_no % 8) + 1e-9, 6) as centred from fx_frames", "fx_frames"))
 def cmvn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean subtraction per item and bin."""
     mean = F.avg("prob").over(Window.partitionBy("item_id", F.col("frame_no") % 8))
-    return fx.frames(spark, sf_dir).select("item_id", "frame_no", _r(F.col("prob") - mean).alias("centred"))
+    return fx.frames(spark, sf_dir).select("item_id", "frame_no", F.round(F.col("prob") - mean + 1e-9, 6).alias("centred"))
 
 
 def _calibrated(name: str, a: float, b: float, c: float) -> str:

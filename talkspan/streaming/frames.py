@@ -27,7 +27,8 @@ class Framer:
         self.buffer = np.zeros(0) if buffer is None else np.asarray(buffer, float)
 
     def accept(self, x: np.ndarray, end: bool = False) -> list[tuple[int, int, np.ndarray, bool]]:
-        """(number, first sample, samples, whether the last of all) of the new frames."""
+        """(number, first sample, samples, whether the last of all) of the new frames. The last
+        one is marked only if it comes out with the end."""
         if self.ended:
             return []
         self.buffer = np.concatenate((self.buffer, x))
