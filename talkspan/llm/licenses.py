@@ -66,7 +66,8 @@ def _windows(s: Column, size: int, every: Column) -> Column:
 
 def template_table(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFrame:
     """license, t (distinct shingles), n, size (of the windows that hold it), sig."""
-    rows = spark.createDataFrame(list(templates), "license string, body string").withColumn("w", words(F.col("body")))
+    each = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(body).alias("body")) for name, body in templates])
+    rows = spark.range(1).select(F.explode(each).alias("x")).select("x.license", words(F.col("x.body")).alias("w"))
     rows = rows.select("license", F.array_distinct(shingles(F.col("w"))).alias("t")).withColumn("n", F.size("t"))
     # windows overlap by half, so one of twice the template's size holds all of it; single shingles need no slack
     size = F.when(F.col("n") == 1, F.lit(1)).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("n"))) + 1)).cast("int")
@@ -82,7 +83,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     shingle are passed over before windows are made, as no window of theirs can hold one.
     """
     spark = docs.sparkSession
-    table = spark.createDataFrame(template_table(spark, templates).orderBy("license").collect())  # the fixed templates
+    table = stored(template_table(spark, templates))
     known = table.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("t"))))).first()[0]
     every = F.array(*[F.lit(h) for h in known])
     sizes = sorted(r["size"] for r in table.select("size").distinct().collect())
