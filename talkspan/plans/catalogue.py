@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkspan.plans import intervals, recordings, segmentation, signals, statistics, texts  # noqa: F401  importing a module registers its queries
+from talkspan.plans import intervals, recordings, segmentation, signals, statistics, tables, texts  # noqa: F401  importing a module registers its queries
 from talkspan.plans.registry import ORACLES, QUERIES
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import partial
@@ -139,7 +140,7 @@ def _folder(spark: SparkSession) -> str:
     """A new folder that executors share; a temporary one only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="talkspan-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
