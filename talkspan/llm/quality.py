@@ -1,17 +1,19 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed words.
 
 Grades 0..K-1 share one weight per hashed feature; ordered thresholds cut the score:
-P(grade <= k) = logistic(threshold_k - score). Features are binary: words without symbols at their ends, the symbols
-themselves, and words in capitals. The model is fitted on a bounded sample of rated documents; scoring reads every
+P(grade <= k) = logistic(threshold_k - score). Features are binary: words without symbols at their ends, their first
+letters, the symbols themselves, words in capitals, and classes of how often words repeat. The model is fitted on a bounded sample of rated documents; scoring reads every
 document whole.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rated documents fitted on, at most; they are chosen by a hash of their id.
-MAX_RATED = 12_000
+MAX_RATED = 20_000
 BITS = 20
-#: Features in fewer rated documents have no weight.
-MIN_DOCS = 4
+#: First bytes of longer words that make features of their own.
+PREFIXES = (4, 5, 6)
+#: Probability of the top grade from which documents are kept.
+LEAST_TAIL = 0.7
+#: Features in fewer rated documents have no weight. Nor have those whose documents' mean grade lies within
+#: SCREEN * sqrt(2 ln m) standard errors of the mean of all, where m features are compared: chance alone reaches
+#: sqrt(2 ln m). Words that say nothing would add up to noise in long texts.
+MIN_DOCS, SCREEN = 4, 1.3
 _WORD = re.compile(rb"^([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)(.*?)([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)$", re.S)
 _KNOWN: dict[bytes, tuple[int, ...]] = {}
 
@@ -30,7 +38,9 @@ _KNOWN: dict[bytes, tuple[int, ...]] = {}
 def _features(token: bytes) -> tuple[int, ...]:
     mask = (1 << BITS) - 1
     before, word, after = _WORD.match(token).groups()
-    found = [zlib.crc32(word.lower()) & mask] if word else []
+    low = word.lower()
+    found = [zlib.crc32(low) & mask] if word else []
+    found += [zlib.crc32(b"\0^" + low[:n]) & mask for n in PREFIXES if len(low) > n]
     found += [zlib.crc32(b"\0<" + before) & mask] if before else []
     found += [zlib.crc32(b"\0>" + after) & mask] if after else []
     if len(word) > 2 and word.isupper():
@@ -42,8 +52,15 @@ def features(text: bytes | None) -> np.ndarray:
     """Sorted distinct feature numbers of a whole text; none of a null, empty or blank one."""
     if len(_KNOWN) > 200_000:
         _KNOWN.clear()
+    tokens = (text or b"").split()
+    once = set(tokens)
     out: set[int] = set()
-    for token in set((text or b"").split()):
+    if len(tokens) >= 20:
+        again = sum(map(operator.eq, tokens, islice(tokens, 1, None))) / len(tokens)
+        mask = (1 << BITS) - 1
+        out.add(zlib.crc32(b"\0again%d" % min(5, int(again * 20))) & mask)
+        out.add(zlib.crc32(b"\0distinct%d" % (10 * len(once) // len(tokens))) & mask)
+    for token in once:
         if (f := _KNOWN.get(token)) is None:
             f = _KNOWN[token] = _features(token)
         out.update(f)
@@ -63,21 +80,25 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 2e-3, rounds: int = 150, rate: float = 0.05) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 0.01, rounds: int = 400, rate: float = 0.1) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty, by Adam on all rows at once. Deterministic."""
     weights = np.zeros(1 << BITS, np.float32)
     share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1)[:-1] / (len(grades) + n_grades)
     thresholds = np.log(share / (1 - share))
     if not len(rows):
         return OrdinalModel(weights, thresholds)
-    at = np.concatenate(rows)
-    seen = np.bincount(at, minlength=1 << BITS)
-    used = np.nonzero(seen >= min(MIN_DOCS, max(1, len(rows) // 50)))[0]
+    seen, sums = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for r, g in zip(rows, grades.tolist(), strict=True):  # a document's features are distinct
+        seen[r] += 1
+        sums[r] += g
+    apart = np.abs(sums - seen * grades.mean()) / np.sqrt(np.maximum(seen, 1)) / max(grades.std(), 1e-9)
+    often = seen >= min(MIN_DOCS, max(1, len(rows) // 50))
+    used = np.nonzero(often & (apart >= SCREEN * np.sqrt(2 * np.log(max(2, often.sum())))))[0]
     number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used))
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = number[at]
-    doc, col = doc[col >= 0], col[col >= 0]
+    kept = [c[c >= 0] for c in (number[r] for r in rows)]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in kept])
+    col = np.concatenate(kept)
     n_w, n_t = len(used), n_grades - 1
     x = np.zeros(n_w + n_t)  # thresholds: the first, then logs of the steps between them
     x[n_w] = thresholds[0]
@@ -130,7 +151,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rated: int
     return fit(arrays, np.clip(got.column("grade").to_numpy(), 0, n_grades - 1), n_grades)
 
 
-def score(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL) -> DataFrame:
     """doc_id, expected_grade double, tail_prob double (of the top grade), keep boolean (tail_prob >= least_tail):
     a row for each row of docs. Null and empty texts have no features: the thresholds alone grade them."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # 4 MB whatever the data
@@ -146,7 +167,7 @@ def score(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5) -> Data
     return rows.mapInArrow(run, "doc_id long, expected_grade double, tail_prob double, keep boolean")
 
 
-def select(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5) -> DataFrame:
+def select(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL) -> DataFrame:
     """The rows of docs (doc_id, text, lang, source, n_chars) whose tail probability is least_tail or more."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
