@@ -78,17 +78,18 @@ def plain_text(segments: DataFrame, key: str, no: str, name: str = "name", text:
     return b.groupBy(key).agg(F.array_join(ordered("_block", "_t"), "\n\n").alias("transcript"))
 
 
-def result_json(segments: DataFrame, words: DataFrame, speakers: DataFrame, key: str, schema: str = "talkspan-1") -> DataFrame:
-    """key, json: the nested document of an item, from segments (key, seg_no, start_ms, end_ms, speaker, text), words
-    (key, pos, tok, start_ms, end_ms, prob) and speakers (key, speaker, name, color). Times are seconds."""
+def result_json(segments: DataFrame, words: DataFrame, key: str, schema: str = "talkspan-1") -> DataFrame:
+    """key, json: the nested document of an item, from segments (key, seg_no, start_ms, end_ms, speaker, name, color,
+    text) and words (key, pos, tok, start_ms, end_ms, prob). Times are seconds."""
     sec = lambda c: F.col(c) / 1000
     row = lambda order, *cols: F.transform(F.array_sort(F.collect_list(F.struct(order, *cols))), lambda x: x.dropFields(order))
-    s = segments.groupBy(key).agg(row("seg_no", F.lit("text").alias("type"), F.col("speaker").alias("speaker_id"), sec("start_ms").alias("start_time"), sec("end_ms").alias("end_time"), "text").alias("segments"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda x: x["text"]), " ").alias("text"))
+    pairs = lambda v: F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.col("speaker").cast("string").alias("k"), F.col(v).alias("v")))))
+    one = row("seg_no", F.lit("text").alias("type"), F.col("speaker").alias("speaker_id"), sec("start_ms").alias("start_time"), sec("end_ms").alias("end_time"), "text")
+    s = segments.groupBy(key).agg(one.alias("segments"), pairs("name").alias("speaker_names"), pairs("color").alias("speaker_colors"))
+    s = s.withColumn("text", F.array_join(F.transform("segments", lambda x: x["text"]), " "))
     w = words.groupBy(key).agg(row("pos", F.col("tok").alias("text"), sec("start_ms").alias("start"), sec("end_ms").alias("end"), F.col("prob").alias("probability")).alias("words"))
-    pairs = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("speaker").cast("string").alias("k"), F.col(v).alias("v")))))
-    n = speakers.groupBy(key).agg(pairs("name").alias("speaker_names"), pairs("color").alias("speaker_colors"))
     doc = F.struct(F.lit(schema).alias("schema"), "text", "words", "segments", "speaker_names", "speaker_colors")
-    return s.join(w, key, "left").join(n, key, "left").select(key, F.to_json(doc).alias("json"))
+    return s.join(w, key, "left").select(key, F.to_json(doc).alias("json"))
 
 
 RESULT = "schema string, text string, words array<struct<text:string,start:double,end:double,probability:double>>, segments array<struct<type:string,speaker_id:int,start_time:double,end_time:double,start:double,end:double,text:string>>, speaker_names map<string,string>, speaker_colors map<string,string>"

@@ -26,8 +26,8 @@ def bucketed(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame
     return df.withColumn("_bucket", F.explode(F.sequence(F.floor(start / width), F.greatest(F.floor(start / width), F.floor(end / width)))))
 
 
-def attribute_words(words: DataFrame, turns: DataFrame, key: str, word_no: str = "pos", turn_no: str = "turn", bucket_ms: int = 60_000) -> DataFrame:
-    """key, word_no, speaker int, how: the speaker of each word.
+def attribute_words(words: DataFrame, turns: DataFrame, key: str, word_no: str = "pos", turn_no: str = "turn", bucket_ms: int = 60_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, word_no, speaker int, how, and the columns `keep` of words: the speaker of each word.
 
     The turn with the greatest overlap, then the nearest centre, then the first. Without overlap ("near") the nearer
     of the last turn that ended by the word's centre and the next that starts after it; the earlier at a tie, and
@@ -36,9 +36,10 @@ def attribute_words(words: DataFrame, turns: DataFrame, key: str, word_no: str =
     from one pass over words and turns in time order.
     """
     s, e = word_interval(F.col("start_ms"), F.col("end_ms"))
-    w = words.select(key, word_no, s.alias("ws"), e.alias("we")).withColumn("c2", F.col("ws") + F.col("we"))
+    carried = F.struct(F.lit(0).alias("_"), *keep).alias("kept")
+    w = words.select(key, word_no, s.alias("ws"), e.alias("we"), carried).withColumn("c2", F.col("ws") + F.col("we"))
     t = turns.select(key, F.col(turn_no).alias("t_no"), F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"), F.greatest(F.lit(0), F.col("speaker")).alias("speaker"))
-    wb = bucketed(w, F.col("ws"), F.col("we"), bucket_ms)
+    wb = bucketed(w.drop("kept"), F.col("ws"), F.col("we"), bucket_ms)
     tb = bucketed(t, F.col("ts"), F.col("te"), bucket_ms)
     pairs = wb.join(tb, [key, "_bucket"]).where("ws < te and ts < we")
     distance = F.abs(F.col("ts") + F.col("te") - F.col("c2"))
@@ -46,18 +47,24 @@ def attribute_words(words: DataFrame, turns: DataFrame, key: str, word_no: str =
     best = pairs.groupBy(key, word_no).agg(F.min(score)["speaker"].alias("over"))
     # nearest turns: words and turn ends in one order, the last turn end by the centre, the first start after it
     none = F.lit(None)
-    events = t.select(key, none.cast("long").alias("word"), (2 * F.col("te")).alias("at"), F.lit(0).alias("kind"), F.struct(F.col("te"), (-F.col("t_no")).alias("o"), "speaker").alias("ended"), none.cast("struct<ts:bigint,o:bigint,speaker:int>").alias("starts"))
-    events = events.union(t.select(key, none.cast("long"), 2 * F.col("ts"), F.lit(2), none.cast(events.schema["ended"].dataType), F.struct(F.col("ts"), F.col("t_no").cast("long").alias("o"), "speaker")))
-    events = events.union(w.select(key, F.col(word_no).cast("long"), F.col("c2"), F.lit(1), none.cast(events.schema["ended"].dataType), none.cast(events.schema["starts"].dataType)))
+    end = "struct<te:bigint,o:bigint,speaker:int>"
+    begin = "struct<ts:bigint,o:bigint,speaker:int>"
+    kept = w.schema["kept"].dataType
+    ends = F.struct("te", (-F.col("t_no")).cast("long").alias("o"), "speaker").cast(end)
+    starts = F.struct("ts", F.col("t_no").cast("long").alias("o"), "speaker").cast(begin)
+    row = lambda word, at, kind, e, s, k: (word.cast("long").alias("word"), at.alias("at"), F.lit(kind).alias("kind"), e.cast(end).alias("ended"), s.cast(begin).alias("starts"), k.cast(kept).alias("kept"))
+    events = t.select(key, *row(none, 2 * F.col("te"), 0, ends, none, none))
+    events = events.union(t.select(key, *row(none, 2 * F.col("ts"), 2, none, starts, none)))
+    events = events.union(w.select(key, *row(F.col(word_no), F.col("c2"), 1, none, none, F.col("kept"))))
     line = Window.partitionBy(key).orderBy("at", "kind")
     past, rest = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(0, Window.unboundedFollowing)
     near = events.withColumn("p", F.max("ended").over(past)).withColumn("n", F.min("starts").over(rest)).where("word is not null")
     before, after = F.col("at") - 2 * F.col("p.te"), 2 * F.col("n.ts") - F.col("at")
     pick = F.when(F.col("p").isNull(), F.col("n.speaker")).when(F.col("n").isNull() | (before <= after), F.col("p.speaker")).otherwise(F.col("n.speaker"))
-    near = near.select(key, F.col("word").alias(word_no), pick.alias("near"))
+    near = near.select(key, F.col("word").alias(word_no), pick.alias("near"), "kept")
     out = near.join(best, [key, word_no], "left")
     how = F.when(F.col("over").isNotNull(), "overlap").when(F.col("near").isNotNull(), "near").otherwise("none")
-    return out.select(key, word_no, F.coalesce("over", "near", F.lit(0)).cast("int").alias("speaker"), how.alias("how"))
+    return out.select(key, word_no, F.coalesce("over", "near", F.lit(0)).cast("int").alias("speaker"), how.alias("how"), *[F.col(f"kept.{c}").alias(c) for c in keep])
 
 
 def count_inside(spans: DataFrame, words: DataFrame, key: str, span_no: str, word_no: str = "pos", bucket_ms: int = 60_000) -> DataFrame:

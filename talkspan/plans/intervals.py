@@ -137,8 +137,8 @@ who as (select conv_id, pos, speaker, 'overlap' as how from ov
   from un left join pv on un.conv_id = pv.conv_id and un.pos = pv.pos left join nx on un.conv_id = nx.conv_id and un.pos = nx.pos)"""
 
 
-def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.attribute_words(fx.words(spark, sf_dir), fx.conv_turns(spark, sf_dir), "conv_id")
+def attributed(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return joins.attribute_words(fx.words(spark, sf_dir), fx.conv_turns(spark, sf_dir), "conv_id", keep=keep)
 
 
 @query(sql(f"with {_ATTRIBUTED} select conv_id, pos, speaker, how from who", "fx_words", "fx_conv_turns"))
@@ -175,8 +175,7 @@ seg as (select conv_id, run, part, any_value(speaker) as speaker, min_by(start_m
 
 
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = fx.words(spark, sf_dir).select("conv_id", "pos", "tok", "start_ms", "end_ms").join(attributed(spark, sf_dir), ["conv_id", "pos"])
-    return editor_segments(words, "conv_id")
+    return editor_segments(attributed(spark, sf_dir, "tok", "start_ms", "end_ms"), "conv_id")
 
 
 @query(sql(f"with {_SEGMENTS} select * from seg", "fx_words", "fx_conv_turns"))

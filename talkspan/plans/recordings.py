@@ -197,9 +197,7 @@ def plain_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = named(spark, sf_dir)
-    speakers = n.select("conv_id", "speaker", "name", "color").distinct()
-    return edits.result_json(n, fx.words(spark, sf_dir), speakers, "conv_id")
+    return edits.result_json(named(spark, sf_dir), fx.words(spark, sf_dir), "conv_id")
 
 
 @query(sql(f"""with {_WITH_NAMES}

@@ -135,14 +135,12 @@ a as (select w.conv_id, w.pos, w.end_ms, speaker, lead(w.start_ms) over o as ns,
 select conv_id, pos, cast(case when ns is null then 1000 when nsp <> speaker then greatest(1000, ns - end_ms) else greatest(0, ns - end_ms) end as bigint) as pause_ms
 from a where n >= 2""", "fx_words", "fx_conv_turns"))
 def pause_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = fx.words(spark, sf_dir).select("conv_id", "pos", "start_ms", "end_ms").join(attributed(spark, sf_dir), ["conv_id", "pos"])
-    return segment.pause_hints(words, "conv_id")
+    return segment.pause_hints(attributed(spark, sf_dir, "start_ms", "end_ms"), "conv_id")
 
 
 @query()
 def writer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = fx.words(spark, sf_dir).select("conv_id", "pos", "tok", "start_ms", "end_ms").join(attributed(spark, sf_dir), ["conv_id", "pos"])
-    return segment.sentence_groups(words, "conv_id")
+    return segment.sentence_groups(attributed(spark, sf_dir, "tok", "start_ms", "end_ms"), "conv_id")
 
 
 @query(sql("""
