@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade is a half or more stay."""
+    """Documents whose probability of the top grade is high enough stay."""
     ratings = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", quality.grade().alias("grade"))
     return quality.select(docs, quality.train(docs, ratings))
 
@@ -29,12 +29,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest doc_id stays, once. Rows of a null id stay if their
-    component has no id at all; of repeated rows of one id one stays. Documents without words are no copies: they stay."""
-    found = simhash.near_duplicates(docs, shingle_words=SHINGLE, radius=RADIUS)
+    """Of each component of near duplicates, by the operator's own shingles and radius, the smallest doc_id stays.
+
+    Equal rows become one; rows that share a doc_id but not the text stay or go together. Rows of a null id cannot be
+    told apart by it: of those with equal texts one stays. Documents without words are one group.
+    """
+    found = simhash.near_duplicates(docs)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct()
     rows = docs.select(*COLUMNS)
-    return rows.join(keep, F.col("doc_id") == F.col("k"), "left_semi").dropDuplicates(["doc_id"])
+    kept = rows.join(keep, F.col("doc_id") == F.col("k"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.union(rows.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +52,6 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return pieces.encode(docs)
 
 
-SHINGLE, RADIUS = 5, 4
-
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("simhash", simhash_stage), ("mix", mix_stage), ("pieces", pieces_stage)]
 
 ORACLE_SQL = None  # a fitted classifier, fingerprints and token ids are beyond SQL: tests hold stages against brute force
