@@ -68,7 +68,12 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _search(k: int, pivots: np.ndarray, most: float):
+def _dtype(top: float) -> type:
+    """The smallest type that holds whole numbers up to top: what vectors are moved in."""
+    return next((t for t in (np.int8, np.int16, np.int32) if top <= np.iinfo(t).max), np.float64)
+
+
+def _search(k: int, pivots: np.ndarray, most: float, kind: type):
     """Cogrouped: one group's query block with its floors, and a run of the index's blocks."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     dim = pivots.shape[1] - 1
@@ -77,7 +82,7 @@ def _search(k: int, pivots: np.ndarray, most: float):
         if not queries.num_rows or not blocks.num_rows:
             return schema.empty_table()
         q_ids, floors = queries.column("vec_id").to_numpy(), queries.column("floor").to_numpy()
-        q = _matrix(queries.column("v").combine_chunks(), dim)
+        q = np.frombuffer(b"".join(queries.column("packed").to_pylist()), kind).reshape(len(q_ids), dim).astype(float)
         exact32 = float(np.abs(q).max(initial=0)) * most * dim < 2**24
         norms = (q * q).sum(1)
         to_pivot = _distances(q, np.zeros(len(q)), pivots)
@@ -92,10 +97,10 @@ def _search(k: int, pivots: np.ndarray, most: float):
             if not len(open_):
                 continue
             ids = np.frombuffer(blocks.column("ids")[b].as_py(), np.int64)
-            v = np.frombuffer(blocks.column("vectors")[b].as_py(), np.float64).reshape(len(ids), dim)
+            v = np.frombuffer(blocks.column("vectors")[b].as_py(), kind).reshape(len(ids), dim)
             for at in range(0, len(open_), 256):
                 o = open_[at : at + 256]
-                s = (typed[o] @ (v.astype(np.float32) if exact32 else v).T).astype(float)
+                s = (typed[o] @ (v.astype(typed.dtype)).T).astype(float)
                 s[ids[None, :] == q_ids[o][:, None]] = -np.inf
                 s, i = best_of(np.concatenate((top_s[o], s), axis=1), np.concatenate((top_i[o], np.broadcast_to(ids, s.shape)), axis=1), k)
                 top_s[o], top_i[o] = s, i
@@ -115,7 +120,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     """
     rows = stored(vectors.where("vec_id is not null").dropDuplicates(["vec_id"]))
     asked = queries.where("vec_id is not null").dropDuplicates(["vec_id"])
-    stats = rows.agg(F.max(F.size("v")).alias("dim"), F.max(F.expr("aggregate(v, 0d, (a, x) -> a + x * x)")).alias("norm"), F.count("*").alias("n")).first()
+    stats = rows.agg(F.max(F.size("v")).alias("dim"), F.max(F.expr("aggregate(v, 0d, (a, x) -> a + x * x)")).alias("norm"), F.max(F.expr("aggregate(v, 0d, (a, x) -> greatest(a, abs(x)))")).alias("top")).first()
+    kind = _dtype(stats["top"] or 0)
     dim, most = stats["dim"] or 0, float(np.sqrt(stats["norm"] or 0))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # a fixed number of rows
     s_ids = sample.column("vec_id").to_numpy()
@@ -130,7 +136,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
             x = _matrix(b.column(1), dim)
             d = _distances(x, extra(x), p)
             near = d.argmin(1)
-            packed = [r.tobytes() for r in x]
+            packed = [r.tobytes() for r in x.astype(kind)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array(packed, pa.binary())], ["vec_id", "pivot", "d", "packed"])
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,19 +158,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     def floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A floor for each query's k-th score: that among the sample, which are rows like any other."""
         for b in batches:
-            scores = _matrix(b.column(1), dim) @ s.T
+            x = _matrix(b.column(1), dim)
+            scores = x @ s.T
             scores[s_ids[None, :] == b.column(0).to_numpy()[:, None]] = -np.inf
             floor = np.partition(scores, -k, axis=1)[:, -k] if len(s_ids) > k else np.full(b.num_rows, -np.inf)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(floor)], ["vec_id", "v", "floor"])
+            packed = [r.tobytes() for r in x.astype(kind)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(floor)], ["vec_id", "packed", "floor"])
 
-    floor = asked.select("vec_id", "v").mapInArrow(floored, "vec_id long, v array<double>, floor double")
+    floor = asked.select("vec_id", "v").mapInArrow(floored, "vec_id long, packed binary, floor double")
     n_blocks = blocks.count()
     q_groups = max(1, -(-asked.count() // QUERIES))
     b_groups = max(1, -(-n_blocks // BLOCKS))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     qs = floor.withColumn("qg", F.pmod(F.xxhash64("vec_id"), F.lit(q_groups)).cast("int")).withColumn("bg", spread(b_groups))
     bs = blocks.withColumn("bg", F.pmod(F.xxhash64("pivot", F.floor(F.col("d_min")), "d_max", F.substring("ids", 1, 8)), F.lit(b_groups)).cast("int")).withColumn("qg", spread(q_groups))
-    met = qs.groupBy("qg", "bg").cogroup(bs.groupBy("qg", "bg")).applyInArrow(_search(k, p, most), "query_id long, vec_id long, score double")
+    met = qs.groupBy("qg", "bg").cogroup(bs.groupBy("qg", "bg")).applyInArrow(_search(k, p, most, kind), "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
