@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding, batched in numpy.
 
 Texts are cut into words that no piece crosses; a batch's distinct words of equal length advance together. Polynomial
-hashes of all their substrings probe the sorted piece keys. For unigram models a Viterbi pass keeps the best score at
-every position and the piece that reached it. A model file that says BPE merges instead: the best-scored neighbouring
-pair of symbols first, the leftmost at a tie; there the Viterbi path is not what the model's own encoder returns, so
-encode() lets the same batches and probes settle the merges (see README). Characters of no piece fall back to bytes.
+hashes of all their substrings probe the sorted piece keys. A Viterbi pass keeps the best score at every position and
+the piece that reached it. For unigram models all paths count. A BPE model's own encoder merges instead, the best-scored
+neighbouring pair of symbols first and the leftmost at a tie; there only paths count whose neighbouring pieces merging
+would leave side by side, which makes the path the merged one. Characters of no piece fall back to bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ BASE, LENGTH = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY = 10.0
 #: Words longer than this merge by a heap, as batches of them would take quadratic time.
 LONG = 256
+#: Pairs of pieces of which a worker remembers whether they stay apart, as a power of two.
+ASKED_BITS = 21
+#: Words whose ids a worker holds from batch to batch; beyond, it begins anew.
+HELD_WORDS = 250_000
 #: Characters of text whose words are gathered before they are encoded.
 GATHER = 1 << 21
 
@@ -114,6 +119,35 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.ids[at], -1)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def follows(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether merging leaves piece `ids` whole after piece `before`: len(pieces) for the beginning, one more for a
+        character of no piece. What has been asked is kept in a table of fixed size, by hash."""
+        if "_asked" not in self.__dict__:
+            usable = self.ids[np.argsort(self.ids)]
+            self._whole = np.zeros(len(self.pieces) + 2, bool)
+            self._whole[usable] = [x == [i] for i, x in zip(usable.tolist(), encode_words(self, [self.pieces[i] for i in usable], "merge"), strict=True)]
+            self._whole[-1] = True
+            self._asked, self._yes = np.full(1 << ASKED_BITS, -1), np.zeros(1 << ASKED_BITS, bool)
+        key = before.astype(np.int64) * (len(self.pieces) + 2) + ids
+        with np.errstate(over="ignore"):
+            slot = ((key.astype(np.uint64) * LENGTH) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)
+        out = self._whole[ids]
+        pair = out & (before < len(self.pieces)) & (ids < len(self.pieces))
+        held = self._asked[slot] == key
+        out[pair & held] = self._yes[slot[pair & held]]
+        new = np.nonzero(pair & ~held)[0]
+        if len(new):
+            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            a, b = before[new[first]].tolist(), ids[new[first]].tolist()
+            got = encode_words(self, [self.pieces[x] + self.pieces[y] for x, y in zip(a, b, strict=True)], "merge")
+            yes = np.array([g == [x, y] for g, x, y in zip(got, a, b, strict=True)])
+            self._asked[slot[new]], self._yes[slot[new]] = key[new], yes[back]
+            out[new] = yes[back]
+        return out
+
     def fallback(self, char: int) -> list[int]:
         if not self.byte_ids:
             return [self.unknown]
@@ -155,14 +189,11 @@ def _sub(m: PieceModel, prefix: np.ndarray, rows, start, end) -> np.ndarray:
         return prefix[rows, end] - prefix[rows, start] * m.powers[end - start]
 
 
-def viterbi(m: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of words of equal length: each position's best piece ending there (-1: one unknown character), its length."""
-    n, length = codes.shape
+def lattice(m: PieceModel, codes: np.ndarray) -> list[np.ndarray]:
+    """Of words of equal length: by piece length less one, ids of the pieces that begin at each position, -1 for none."""
+    length = codes.shape[1]
     prefix = prefix_hashes(codes)
-    best = np.full((n, length + 1), -np.inf, np.float32)
-    best[:, 0] = 0
-    piece, back = np.full((n, length + 1), -1, np.int32), np.ones((n, length + 1), np.int32)
-    found, score = [], []
+    found = []
     for k in range(1, min(m.longest, length) + 1):
         with np.errstate(over="ignore"):
             h = prefix[:, k:] - prefix[:, :-k] * m.powers[k]
@@ -174,7 +205,17 @@ def viterbi(m: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 ids[r[wrong], s[wrong]] = -1
                 r, s = r[~wrong], s[~wrong]
         found.append(ids)
-        score.append(np.where(ids >= 0, m.scores[ids], -np.inf).astype(np.float32))
+    return found
+
+
+def viterbi(m: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words of equal length: each position's best piece ending there (-1: one unknown character), its length."""
+    n, length = codes.shape
+    best = np.full((n, length + 1), -np.inf, np.float32)
+    best[:, 0] = 0
+    piece, back = np.full((n, length + 1), -1, np.int32), np.ones((n, length + 1), np.int32)
+    found = lattice(m, codes)
+    score = [np.where(ids >= 0, m.scores[ids], -np.inf).astype(np.float32) for ids in found]
     for j in range(1, length + 1):
         for k in range(min(len(found), j), 0, -1):
             with np.errstate(invalid="ignore"):
@@ -187,6 +228,42 @@ def viterbi(m: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return piece, back
 
 
+def merged_path(m: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """viterbi() for a BPE model: over paths whose neighbouring pieces merging would leave side by side.
+
+    A sequence of pieces is what merging returns exactly if each piece and each neighbouring pair is what merging
+    returns for its own text. So a position's last piece settles which may follow, and the one path to a position
+    that this leaves is the merged one. Words whose end no such path reaches have piece -3 there.
+    """
+    n, length = codes.shape
+    none, start, odd = -3, len(m.pieces), len(m.pieces) + 1
+    last = np.full((n, length + 1), none)
+    last[:, 0] = start
+    best = np.full((n, length + 1), -np.inf, np.float32)
+    best[:, 0] = 0
+    piece, back = np.full((n, length + 1), -1, np.int32), np.ones((n, length + 1), np.int32)
+    found = lattice(m, codes)
+    for j in range(1, length + 1):
+        ks = np.arange(min(len(found), j), 0, -1)
+        ids = np.stack([found[k - 1][:, j - k] for k in ks], axis=1)
+        before, value = last[:, j - ks], best[:, j - ks]
+        ids = np.where((ks == 1) & (ids < 0), odd, ids)
+        r, c = np.nonzero((ids >= 0) & (before != none))
+        good = m.follows(before[r, c], ids[r, c])
+        r, c = r[good], c[good]
+        score = np.full(ids.shape, -np.inf, np.float32)
+        known = ids[r, c] != odd
+        score[r, c] = value[r, c] + np.where(known, m.scores[np.where(known, ids[r, c], 0)], m.unknown_score)
+        top = score.argmax(1)
+        rows = np.arange(n)
+        reached = score[rows, top] > -np.inf
+        best[:, j] = score[rows, top]
+        last[:, j] = np.where(reached, ids[rows, top], none)
+        piece[:, j] = np.where(last[:, j] == odd, -1, last[:, j])
+        back[:, j] = ks[top]
+    return piece, back
+
+
 def _walk(m: PieceModel, codes: np.ndarray, piece: np.ndarray, back: np.ndarray) -> list[list[int]]:
     """Ids of each word along the backpointers."""
     n, length = codes.shape
@@ -296,15 +373,30 @@ def merge_one(m: PieceModel, word: str) -> list[int]:
     return out
 
 
+def _settle(m: PieceModel, codes: np.ndarray, algorithm: str) -> list[list[int]]:
+    if algorithm == "viterbi":
+        return _walk(m, codes, *viterbi(m, codes))
+    if algorithm == "merge":
+        return merges(m, codes)
+    piece, back = merged_path(m, codes)
+    lost = np.nonzero(piece[:, -1] == -3)[0]
+    got = _walk(m, codes, np.maximum(piece, -1), back)
+    if len(lost):  # a vocabulary with pieces that merging makes in company only
+        for i, ids in zip(lost.tolist(), merges(m, codes[lost]), strict=True):
+            got[i] = ids
+    return got
+
+
 def encode_words(m: PieceModel, words: list[str], algorithm: str) -> list[list[int]]:
-    """Ids of each word, with spaces as SPACE. algorithm: "viterbi" or "merge"."""
+    """Ids of each word, with spaces as SPACE. algorithm: "viterbi", "merged_path" (the same over
+    paths that merging leaves), or "merge" (the merges themselves, which settle pairs and check the rest)."""
     out: list[list[int]] = [[]] * len(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for length in np.unique(lengths):
         at = np.nonzero(lengths == length)[0]
         if length == 0:
             continue
-        if algorithm == "merge" and length > LONG:
+        if algorithm != "viterbi" and length > LONG:
             for i in at.tolist():
                 out[i] = merge_one(m, words[i])
             continue
@@ -313,7 +405,7 @@ def encode_words(m: PieceModel, words: list[str], algorithm: str) -> list[list[i
             part = at[s : s + step].tolist()
             raw = "".join([words[i] for i in part]).encode("utf-32-le", "surrogatepass")
             codes = np.frombuffer(raw, "<u4").reshape(len(part), length)
-            got = merges(m, codes) if algorithm == "merge" else _walk(m, codes, *viterbi(m, codes))
+            got = _settle(m, codes, algorithm)
             for i, ids in zip(part, got, strict=True):
                 out[i] = ids
     return out
@@ -346,17 +438,32 @@ def split(m: PieceModel, text: str) -> list[str]:
 
 
 def algorithm_of(m: PieceModel) -> str:
-    return "viterbi" if m.kind == UNIGRAM else "merge"
+    return "viterbi" if m.kind == UNIGRAM else "merged_path"
+
+
+class _Words:
+    """Words that have been encoded, and their ids one after another."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
 
 def encode_texts(m: PieceModel, texts: list[str], algorithm: str | None = None) -> list[np.ndarray]:
-    """Ids of each text. Distinct words are encoded once for all of them."""
-    number: dict[str, int] = {}
+    """Ids of each text. A word is encoded once for all of them, and once for later calls too while it is held."""
+    algorithm = algorithm or algorithm_of(m)
+    held = m.__dict__.setdefault("_words", {})
+    if algorithm not in held or len(held[algorithm].number) > HELD_WORDS:
+        held[algorithm] = _Words()
+    store = held[algorithm]
+    number, known = store.number, len(store.number)
     at = [np.array([number.setdefault(w, len(number)) for w in split(m, t)], np.int64) for t in texts]
-    got = encode_words(m, list(number), algorithm or algorithm_of(m))
-    sizes = np.fromiter(map(len, got), np.int64, len(got))
+    got = encode_words(m, list(islice(number, known, None)), algorithm)
+    new = np.fromiter(map(len, got), np.int64, len(got))
+    store.sizes = np.concatenate((store.sizes, new))
+    store.flat = np.concatenate((store.flat, np.fromiter(chain.from_iterable(got), np.int32, int(new.sum()))))
+    sizes, flat = store.sizes, store.flat
     begin = np.cumsum(sizes) - sizes
-    flat = np.fromiter((x for ids in got for x in ids), np.int32, int(sizes.sum()))
     out = []
     for words in at:
         n = sizes[words]
@@ -386,7 +493,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """doc_id, n_tokens long, ids array<int>, round_trip boolean: a row for each row of docs.
 
     round_trip: decoding the ids gives the text again. Null and empty texts have no ids and a true round_trip.
-    algorithm: "viterbi" or "merge"; by default what the model file says. The model is read by the driver and is
+    algorithm: as of encode_words(); by default what the model file asks for. The model is read by the driver and is
     part of the plan: executors need no file.
     """
     model = load(path)

@@ -320,8 +320,8 @@ def test_pieces_match_the_library(model):
     rng = random.Random(4)
     texts = SAMPLES + ["".join(rng.choice("abcdeinorst ÉéA.,\n") for _ in range(rng.randint(1, 400))) for _ in range(200)]
     bpe = library(pieces.BPE)
-    for text, ids in zip(texts, pieces.encode_texts(model, texts), strict=True):
-        assert ids.tolist() == bpe.encode(text), text[:50]
+    for text, ids, merged in zip(texts, pieces.encode_texts(model, texts), pieces.encode_texts(model, texts, "merge"), strict=True):
+        assert ids.tolist() == bpe.encode(text) == merged.tolist(), text[:50]
         assert pieces.decode(model, ids.tolist()) == text == bpe.decode(ids.tolist())
 
 
