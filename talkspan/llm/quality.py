@@ -26,11 +26,11 @@ BITS = 20
 #: First bytes of longer words that make features of their own.
 PREFIXES = (4, 5, 6)
 #: Probability of the top grade from which documents are kept.
-LEAST_TAIL = 0.7
-#: Features in fewer rated documents have no weight. Nor have those whose documents' mean grade lies within
-#: SCREEN * sqrt(2 ln m) standard errors of the mean of all, where m features are compared: chance alone reaches
-#: sqrt(2 ln m). Words that say nothing would add up to noise in long texts.
-MIN_DOCS, SCREEN = 4, 1.3
+LEAST_TAIL = 0.75
+#: Features in fewer rated documents have no weight. Nor have those whose documents' mean grade differs from the mean of
+#: all by less than EFFECT grades, or by less than SCREEN * sqrt(2 ln m) standard errors, what chance alone reaches when m
+#: features are compared: words that say little would add up to noise in long texts.
+MIN_DOCS, SCREEN, EFFECT = 4, 1.0, 0.3
 _WORD = re.compile(rb"^([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)(.*?)([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)$", re.S)
 _KNOWN: dict[bytes, tuple[int, ...]] = {}
 
@@ -43,6 +43,10 @@ def _features(token: bytes) -> tuple[int, ...]:
     found += [zlib.crc32(b"\0^" + low[:n]) & mask for n in PREFIXES if len(low) > n]
     found += [zlib.crc32(b"\0<" + before) & mask] if before else []
     found += [zlib.crc32(b"\0>" + after) & mask] if after else []
+    if len(after) > 1 and after[0] == after[-1]:
+        found.append(zlib.crc32(b"\0repeated mark") & mask)
+    if not word:
+        found.append(zlib.crc32(b"\0mark alone") & mask)
     if len(word) > 2 and word.isupper():
         found.append(zlib.crc32(b"\0capitals") & mask)
     return tuple(found)
@@ -93,7 +97,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 0
         sums[r] += g
     apart = np.abs(sums - seen * grades.mean()) / np.sqrt(np.maximum(seen, 1)) / max(grades.std(), 1e-9)
     often = seen >= min(MIN_DOCS, max(1, len(rows) // 50))
-    used = np.nonzero(often & (apart >= SCREEN * np.sqrt(2 * np.log(max(2, often.sum())))))[0]
+    effect = np.abs(sums / np.maximum(seen, 1) - grades.mean())
+    used = np.nonzero(often & (effect >= EFFECT) & (apart >= SCREEN * np.sqrt(2 * np.log(max(2, often.sum())))))[0]
     number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used))
     kept = [c[c >= 0] for c in (number[r] for r in rows)]
