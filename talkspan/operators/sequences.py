@@ -88,8 +88,7 @@ def clean_turns(turns: DataFrame, key: str, ordinal: str = "turn_no") -> DataFra
     one = merge.gap_merge(turns, [key], 300, ordinal).withColumnRenamed("n", ordinal)
     two = merge.fragment_zones(one, [key], ordinal=ordinal)
     three = folded(two, key, lambda pdf: _frame(merged(sorted(natural(_turns(pdf), None)), 500)), TURN)
-    four = three.withColumnRenamed("start_ms", "start_ms")
-    return merge.gap_merge(four.withColumn(ordinal, four["start_ms"]), [key], 300, ordinal).drop("n")
+    return merge.gap_merge(three.withColumn(ordinal, three["start_ms"]), [key], 300, ordinal).drop("n")
 
 
 def drop_blips(turns: list[tuple], least: int = 780) -> list[tuple]:
