@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkspan.llm.common import stored
+
 #: Rated documents fitted on, at most; they are chosen by a hash of their id.
 MAX_RATED = 12_000
 BITS = 20
@@ -32,6 +34,8 @@ LEAST_TAIL = 0.75
 #: features are compared: words that say little would add up to noise in long texts.
 MIN_DOCS, SCREEN, EFFECT = 4, 1.0, 0.3
 _WORD = re.compile(rb"^([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)(.*?)([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)$", re.S)
+#: Features of tokens a worker has seen, of so many at most.
+HELD_TOKENS = 50_000
 _KNOWN: dict[bytes, tuple[int, ...]] = {}
 
 
@@ -54,7 +58,7 @@ def _features(token: bytes) -> tuple[int, ...]:
 
 def features(text: bytes | None) -> np.ndarray:
     """Sorted distinct feature numbers of a whole text; none of a null, empty or blank one."""
-    if len(_KNOWN) > 200_000:
+    if len(_KNOWN) > HELD_TOKENS:
         _KNOWN.clear()
     tokens = (text or b"").split()
     once = set(tokens)
@@ -85,25 +89,17 @@ class OrdinalModel:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 0.01, rounds: int = 400, rate: float = 0.1) -> OrdinalModel:
-    """Maximum likelihood with a ridge penalty, by Adam on all rows at once. Deterministic."""
+    """Maximum likelihood with a ridge penalty, by Adam on all rows of distinct features at once. Deterministic."""
     weights = np.zeros(1 << BITS, np.float32)
     share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1)[:-1] / (len(grades) + n_grades)
     thresholds = np.log(share / (1 - share))
-    if not len(rows):
+    if not sum(map(len, rows)):
         return OrdinalModel(weights, thresholds)
-    seen, sums = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for r, g in zip(rows, grades.tolist(), strict=True):  # a document's features are distinct
-        seen[r] += 1
-        sums[r] += g
-    apart = np.abs(sums - seen * grades.mean()) / np.sqrt(np.maximum(seen, 1)) / max(grades.std(), 1e-9)
-    often = seen >= min(MIN_DOCS, max(1, len(rows) // 50))
-    effect = np.abs(sums / np.maximum(seen, 1) - grades.mean())
-    used = np.nonzero(often & (effect >= EFFECT) & (apart >= SCREEN * np.sqrt(2 * np.log(max(2, often.sum())))))[0]
+    used = np.unique(np.concatenate(rows))
     number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used))
-    kept = [c[c >= 0] for c in (number[r] for r in rows)]
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in kept])
-    col = np.concatenate(kept)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    col = number[np.concatenate(rows)]
     n_w, n_t = len(used), n_grades - 1
     x = np.zeros(n_w + n_t)  # thresholds: the first, then logs of the steps between them
     x[n_w] = thresholds[0]
@@ -148,12 +144,34 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rated: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [features(b.column(1)[i].as_py()).tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, pa.binary())], ["doc_id", "grade", "f"])
+            f = [features(b.column(1)[i].as_py()) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, pa.list_(pa.int32()))], ["doc_id", "grade", "f"])
+
+    found = stored(rows.mapInArrow(run, "doc_id long, grade int, f array<int>").withColumn("grade", F.least("grade", F.lit(n_grades - 1))))
+    used = _telling(found)
 
-    got = rows.mapInArrow(run, "doc_id long, grade int, f binary").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(max_rated).toArrow()
-    arrays = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("f")]  # no copies
-    return fit(arrays, np.clip(got.column("grade").to_numpy(), 0, n_grades - 1), n_grades)
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = [np.intersect1d(x.values.to_numpy(), used, assume_unique=True).astype(np.int32).tobytes() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], ["doc_id", "grade", "f"])
+
+    got = found.mapInArrow(narrow, "doc_id long, grade int, f binary").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(max_rated).toArrow()
+    arrays = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("f")]
+    return fit(arrays, got.column("grade").to_numpy(), n_grades)
+
+
+def _telling(found: DataFrame) -> np.ndarray:
+    """Features of `found` (grade, f) that say something about the grade: at most 2^BITS numbers, in fact a few hundred."""
+    all_ = found.agg(F.count("*").alias("n"), F.avg("grade").alias("mean"), F.stddev_pop("grade").alias("sd")).first()
+    if not all_["n"]:
+        return np.zeros(0, np.int32)
+    least = min(MIN_DOCS, max(1, all_["n"] // 50))
+    seen = found.select(F.explode("f").alias("i"), "grade").groupBy("i").agg(F.count("*").alias("n"), F.avg("grade").alias("mean")).where(F.col("n") >= least)
+    seen = stored(seen)
+    bar = SCREEN * np.sqrt(2 * np.log(max(2, seen.count())))
+    effect = F.abs(F.col("mean") - all_["mean"])
+    told = seen.where((effect >= EFFECT) & (effect * F.sqrt("n") / max(all_["sd"], 1e-9) >= bar))
+    return np.sort(told.select("i").toArrow().column("i").to_numpy())
 
 
 def score(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL) -> DataFrame:
