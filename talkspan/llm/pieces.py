@@ -17,6 +17,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +30,17 @@ BASE, LENGTH = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY = 10.0
 #: Words longer than this merge by a heap, as batches of them would take quadratic time.
 LONG = 256
+#: Highest bits of keys by which substrings are sieved before they are looked for among the sorted keys.
+SIEVE_BITS = 20
+SIEVE_SHIFT = np.uint64(64 - SIEVE_BITS)
 #: Pairs of pieces of which a worker remembers whether they stay apart, as a power of two.
 ASKED_BITS = 21
+#: Pairs that are merged one by one rather than as a batch.
+FEW = 150
 #: Words whose ids a worker holds from batch to batch; beyond, it begins anew.
 HELD_WORDS = 250_000
 #: Characters of text whose words are gathered before they are encoded.
-GATHER = 1 << 21
+GATHER = 1 << 22
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -96,6 +102,8 @@ class PieceModel:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have the same key")
         self.scores = self.scores.astype(np.float32)
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)  # by their highest bits: most substrings go no further
+        self.sieve[(self.keys >> SIEVE_SHIFT).astype(np.int64)] = True
         self.unknown = int(np.nonzero(self.types == UNKNOWN)[0][0])
         self.unknown_score = np.float32(self.scores[usable].min() - UNKNOWN_PENALTY)
         self.by_text = {self.pieces[i]: i for i in usable}
@@ -116,8 +124,12 @@ class PieceModel:
         """Ids of the pieces with these hashes and lengths, -1 for none."""
         with np.errstate(over="ignore"):
             want = hashes + lengths.astype(np.uint64) * LENGTH
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        return np.where(self.keys[at] == want, self.ids[at], -1)
+        out = np.full(want.shape, -1, np.int32)
+        may = np.nonzero(self.sieve[(want >> SIEVE_SHIFT).astype(np.int64)])
+        w = want[may]
+        at = np.minimum(np.searchsorted(self.keys, w), len(self.keys) - 1)
+        out[may] = np.where(self.keys[at] == w, self.ids[at], -1)
+        return out
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -142,7 +154,8 @@ class PieceModel:
         if len(new):
             _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
             a, b = before[new[first]].tolist(), ids[new[first]].tolist()
-            got = encode_words(self, [self.pieces[x] + self.pieces[y] for x, y in zip(a, b, strict=True)], "merge")
+            pairs = [self.pieces[x] + self.pieces[y] for x, y in zip(a, b, strict=True)]
+            got = [merge_one(self, p) for p in pairs] if len(pairs) < FEW else encode_words(self, pairs, "merge")
             yes = np.array([g == [x, y] for g, x, y in zip(got, a, b, strict=True)])
             self._asked[slot[new]], self._yes[slot[new]] = key[new], yes[back]
             out[new] = yes[back]
@@ -478,15 +491,14 @@ def decode(m: PieceModel, ids: list[int] | np.ndarray) -> str:
     return text[1:] if m.dummy_prefix and text.startswith(" ") else text
 
 
-def _gathered(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= GATHER:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _gathered(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of GATHER characters or a little more, and where they begin. Nulls are empty."""
+    sizes = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
+    start = 0
+    while start < len(sizes):
+        end = start + 1 + int(np.searchsorted(np.cumsum(sizes[start:]), GATHER))
+        yield start, [t or "" for t in texts.slice(start, end - start).to_pylist()]
+        start = end
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, algorithm: str | None = None) -> DataFrame:
@@ -502,13 +514,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in _gathered(texts):
-                got = encode_texts(m, texts[lo:hi], algorithm)
-                same = [decode(m, ids.tolist()) == t for ids, t in zip(got, texts[lo:hi], strict=True)]
+            for at, texts in _gathered(b.column(1)):
+                got = encode_texts(m, texts, algorithm)
+                same = [decode(m, ids.tolist()) == t for ids, t in zip(got, texts, strict=True)]
                 sizes = np.fromiter(map(len, got), np.int64, len(got))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sizes), ids, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(sizes), ids, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
