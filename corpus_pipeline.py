@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkspan.llm import linededup, mixing, pieces, quality, simhash
@@ -28,6 +28,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
 
 
+def _row() -> list[Column]:
+    """no_id, id, key: rows of docs with a `key`, by columns that are never null."""
+    return [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("key")]
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, by the operator's own shingles and radius, the smallest doc_id stays.
 
@@ -42,9 +47,17 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: the copies of a document are rows of its doc_id."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("k"), F.col("copies").cast("int").alias("copies")).where("copies > 0")
-    return docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("k"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each document as often as the mix takes it: the copies of a document are rows of its doc_id.
+
+    Decisions meet rows by id and a hash of all columns, so null and repeated ids are no hot key; equal rows are one
+    row with the sum of their copies.
+    """
+    parts = ("text", "lang", "source", "n_chars")
+    keyed = docs.select(*COLUMNS, F.xxhash64(*parts, *[F.col(c).isNull() for c in parts]).alias("key"))  # nulls alone leave a hash as it is
+    taken = mixing.mix(keyed, carry=("key",)).select(*_row(), F.col("copies").cast("int").alias("copies"))
+    taken = taken.groupBy("no_id", "id", "key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    rows = keyed.select(*COLUMNS, *_row()).dropDuplicates(["no_id", "id", "key"])
+    return rows.join(taken, ["no_id", "id", "key"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

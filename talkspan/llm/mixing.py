@@ -49,25 +49,26 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return chosen.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", ranges_digits: int = 3, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", ranges_digits: int = 3, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies: a row for each row of docs (doc_id, text, source).
 
     size: words of the text (null: 0). taken: words the mix takes of the document, repeats counted; within a source
     they add up to the target less a fraction of a word, and the document at the cut gives part of its words.
     copies: whole documents to emit: full epochs, plus one if at least half of the document lies before the cut.
     The order is by md5 of seed and doc_id, then doc_id and size, so reruns agree; rows that agree in all are alike.
+    Columns of docs named in `carry` order rows further and come last, so that decisions find their rows.
     Sources of size 0 have target 0 and take nothing (copies 0 would lose empty texts: they are as many as epochs).
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")))
-    keyed = sized.withColumn("key", key).withColumn("range", F.substring("key", 1, ranges_digits))
+    sized = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), *carry))
+    keyed = sized.withColumn("md5", key).withColumn("range", F.substring("md5", 1, ranges_digits))
     ranges = stored(keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     sources = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).select(F.col("source").alias("s"), F.col("range").alias("r"), "offset")
     aim = targets(sources, weights, share, most).select(F.col("source").alias("s2"), "source_size", "target")
     plan = offsets.join(aim, F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("md5", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     prefix = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = prefix.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -76,4 +77,4 @@ def mix(docs: DataFrame, seed: str = "mix", ranges_digits: int = 3, weights: tup
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("offset") - F.col("inside")))
     rows = rows.withColumn("part", part)
     more = F.when(F.col("size") > 0, (F.col("part") * 2 >= F.col("size")).cast("long")).otherwise((left > F.col("offset") + F.col("inside")).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), (F.col("epochs") + more).alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), (F.col("epochs") + more).alias("copies"), *carry)

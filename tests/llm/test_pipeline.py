@@ -74,6 +74,20 @@ def test_near_copies_go(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs(spark, rows), SF).collect()) == [1, 4]
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None, f"null text {i} " + "word " * i, "abc"[i % 3]) for i in range(30)] + [(5, "first text", "a"), (5, "second longer text", "a"), (6, "alike", "b"), (6, "alike", "b"), (7, None, "b"), (7, "", "b")]
+    rows += [(100 + i, "some text of a few words", "abc"[i % 3]) for i in range(40)]
+    d = docs(spark, rows)
+    taken = mixing.mix(d).groupBy("source").agg({"copies": "sum"}).collect()
+    out = corpus_pipeline.mix_stage(spark, d, SF).collect()
+    assert Counter(r.source for r in out) == {r.source: r["sum(copies)"] for r in taken if r["sum(copies)"]}
+    assert max(Counter((r.doc_id, r.text) for r in out).values()) <= 4 and {(r.doc_id, r.text, r.source) for r in out} <= set(rows)
+    sizes, words = {r.source: r.target for r in mixing.mix(d).collect()}, Counter()
+    for r in out:
+        words[r.source] += len((r.text or "").split())
+    assert all(abs(words[s] - t) <= 40 for s, t in sizes.items())
+
+
 @pytest.mark.parametrize("name", ["op1_quality", "op2_tokens", "op3_secrets", "op4_topk", "op5_mix", "op6_simhash", "op7_pieces", "op8_licenses", "op9_lines", "op10_embeddings"])
 def test_registered(spark, name):
     rows = __spark_entry__.queries()[name](spark, SF)
