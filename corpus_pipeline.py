@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspan.llm import linededup, mixing, pieces, quality, simhash
+from talkspan.llm import linededup, mixing, pieces, quality, shingles
 from talkspan.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,16 +34,12 @@ def _row() -> list[Column]:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, by the operator's own shingles and radius, the smallest doc_id stays.
-
-    Equal rows become one; rows that share a doc_id but not the text stay or go together. Rows of a null id cannot be
-    told apart by it: of those with equal texts one stays. Documents without words are one group.
-    """
-    found = simhash.near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct()
-    rows = docs.select(*COLUMNS)
-    kept = rows.join(keep, F.col("doc_id") == F.col("k"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.union(rows.where("doc_id is null").dropDuplicates(["text"]))
+    """Of each component of texts whose five-word shingles overlap by 0.8 or more, one row stays: that of the smallest
+    doc_id, of the smallest text key among its texts. Null ids come last. Documents without words are one group."""
+    found = shingles.near_duplicates(docs)
+    keep = found.groupBy("root").agg(F.min(F.struct(*_row())).alias("f")).select("f.*")
+    rows = docs.select(*COLUMNS, shingles.row_key().alias("key")).select(*COLUMNS, *_row()).dropDuplicates(["no_id", "id", "key"])
+    return rows.join(keep, ["no_id", "id", "key"], "left_semi").select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

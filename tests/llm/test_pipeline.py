@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from talkspan.llm import linededup, mixing, pieces, simhash
+from talkspan.llm import linededup, mixing, pieces, shingles, simhash
 from tests.llm.test_operators import docs
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +74,72 @@ def test_near_copies_go(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs(spark, rows), SF).collect()) == [1, 4]
 
 
+def changed(text, times, word="changed"):
+    """text with `times` words replaced, far apart."""
+    words = text.split()
+    for i in range(times):
+        words[20 + i * 40] = f"{word}{i}"
+    return " ".join(words)
+
+
+def test_copies_of_four_fifths_go(spark):
+    text = " ".join(f"word{i}" for i in range(500))
+    rows = [(1, text, "a"), (2, changed(text, 10), "a"), (3, changed(text, 12, "other"), "a")]  # five-word Jaccard 0.82 and 0.78
+    near = [(simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[i][1])).bit_count() for i in (1, 2)]
+    assert min(near) > 4
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs(spark, rows), SF).collect()) == [1, 3]
+
+
+def brute_roots(texts):
+    """Each text's smallest index by links of Jaccard 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split(" ")
+        w = [x for y in w for x in y.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" ") if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_components_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["", "  \n", "one two", "One two", "one two three"]
+    for f in range(12):  # families: chains of copies, each some words away from one before
+        family = [" ".join(f"f{f}w{rng.randrange(400)}" for _ in range(120 + 30 * f))]
+        for _ in range(14):
+            w = rng.choice(family).split()
+            for _ in range(rng.randrange(1, 6)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            family.append(" ".join(w))
+        texts += family
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    want = brute_roots(texts)
+    d = docs(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    for tile in (2048, 4):
+        out = shingles.near_duplicates(d, tile=tile).collect()
+        key = {r.doc_id: r.key for r in d.select("doc_id", shingles.row_key().alias("key")).collect()}
+        root = {r.key: r.root for r in out}
+        assert len(out) == len(set(texts))
+        first = {}
+        assert [first.setdefault(root[key[i]], i) for i in range(len(texts))] == want
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, d, SF).collect()) == sorted(set(want))
+
+
+def test_null_ids_fall_under_their_component(spark):
+    text, other = (" ".join(f"{p}{i}" for i in range(500)) for p in ("word", "other"))
+    rows = [(7, text, "a"), (None, text, "a"), (None, changed(text, 3), "a"), (None, other, "a"), (None, changed(other, 3), "a"), (7, "a text of its own under the same id", "a")]
+    out = corpus_pipeline.simhash_stage(spark, docs(spark, rows), SF).collect()
+    assert Counter(r.doc_id for r in out) == {7: 2, None: 1}
+    assert {r.text for r in out if r.doc_id == 7} == {text, rows[5][1]}
+
+
 def test_mix_of_null_and_repeated_ids(spark):
     rows = [(None, f"null text {i} " + "word " * i, "abc"[i % 3]) for i in range(30)] + [(5, "first text", "a"), (5, "second longer text", "a"), (6, "alike", "b"), (6, "alike", "b"), (7, None, "b"), (7, "", "b")]
     rows += [(100 + i, "some text of a few words", "abc"[i % 3]) for i in range(40)]
