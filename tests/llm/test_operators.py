@@ -451,7 +451,7 @@ def test_embeddings(spark):
     rows += [(n + i, rows[0][1], 0) for i in range(40)]  # copies
     rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] * 16, 0), (904, [1.0, 2.0], 0), (905, [1e300] * 16, 1), (906, [1e-300] * 16, 1)]
     rows.append(rows[5])
-    out = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=40, group=50).collect()
+    out = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=40).collect()
     assert len(out) == len(rows)
     pairs = brute_links(rows)
     ids = [r[0] for r in rows]
@@ -471,18 +471,32 @@ def test_embeddings(spark):
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
-def test_graph_recall():
+@pytest.mark.parametrize("dense", [0, 900])
+def test_graph_recall(dense):
+    """Links of pairs are found beside a dense group too: recall is the mean over classes that have links."""
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 32))
     x[1500:] = x[:1500] + 0.03 * rng.normal(size=(1500, 32))
-    g = hnsw.build(x)
-    truth = g.x @ g.x.T >= 0.98
-    beam = hnsw.audited_beam(g, g.x[::50], 0.98)
-    found = np.zeros(truth.shape, bool)
-    for at in range(0, 3000, 500):
-        p = hnsw.range_search(g, g.x[at : at + 500], beam, 0.98)
-        found[p[:, 0] + at, p[:, 1]] = True
-    assert (found & truth).sum() / truth.sum() > 0.98 and not (found & ~truth).any()
+    if dense:
+        x[:dense] = x[0] + 0.02 * rng.normal(size=(dense, 32))
+    x = x[rng.permutation(3000)]
+    g, links, _, recall, turned = hnsw.shard_graph(x, np.ones(3000, np.int64), 0.98)
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    truth = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert (links.found <= truth).all() and (links.linked == links.found).all()
+    assert min(recall, turned) >= hnsw.RECALL
+    some = truth > 0
+    assert (links.found[some] / truth[some]).mean() >= 0.98
+    r, i = hnsw.range_search(g, g.x[:500], 24, 0.98)
+    assert len(set(zip(r.tolist(), i.tolist(), strict=True))) == len(r) and len(r) >= 0.97 * (truth[:500] + 1).sum()
+
+
+def test_recall_audits(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8)).tolist(), 1) for i in range(400)]
+    rows += [(500 + i, (np.array(rows[i][1]) + 0.01 * rng.normal(size=8)).tolist(), 1) for i in range(100)]
+    audits = hnsw.recall_audits(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=100).collect()
+    assert len(audits) == 5 + 10 and all(r.recall >= hnsw.RECALL for r in audits)
 
 
 def test_forms_of_columns(spark):
