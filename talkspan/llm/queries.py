@@ -36,7 +36,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
-    return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+    return topk.search(vectors, F.col("vec_id") % 20 == 0)
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +124,13 @@ from p"""
 
 _TOPK = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 pair as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
-  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
-select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+  select q.n, q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.n <> c.n)
+select query_id, cast(row_number() over (partition by n order by score desc, vec_id nulls last) as integer) as rank, vec_id, score
 from pair qualify rank <= 20"""
 
 
