@@ -65,16 +65,20 @@ def overlapped_chunks(spans: DataFrame, keys: list[str], size: int, back: int) -
     return c.select(*keys, "chunk", start.alias("start"), F.least("_e", F.col("c") + size).alias("end"))
 
 
-def token_chunks(rows: DataFrame, keys: list[str], n: Column, size: int = 56, overlap: int = 16) -> DataFrame:
-    """keys, chunk, start, end: token ranges. Up to `size` tokens make one chunk; less than two steps and an overlap
+def token_spans(n: Column, size: int = 56, overlap: int = 16) -> Column:
+    """array<struct<start,end>>: token ranges. Up to `size` tokens make one chunk; less than two steps and an overlap
     two halves that share it; else chunks of `size` every size - overlap."""
     step = size - overlap
     half = F.floor((n + overlap + 1) / 2)
     span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
     zero = F.lit(0)
     many = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil((n - size) / step)) * step, F.lit(step).cast("long")), lambda s: span(s, F.least(s + size, n)))
-    chunks = F.when(n <= 0, F.array().cast("array<struct<start:bigint,end:bigint>>")).when(n <= size, F.array(span(zero, n))).when(n < 2 * step + overlap, F.array(span(zero, half), span(half - overlap, n))).otherwise(many)
-    return rows.select(*keys, F.posexplode(chunks).alias("chunk", "x")).select(*keys, "chunk", "x.start", "x.end")
+    return F.when(n <= 0, F.array().cast("array<struct<start:bigint,end:bigint>>")).when(n <= size, F.array(span(zero, n))).when(n < 2 * step + overlap, F.array(span(zero, half), span(half - overlap, n))).otherwise(many)
+
+
+def token_chunks(rows: DataFrame, keys: list[str], n: Column, size: int = 56, overlap: int = 16) -> DataFrame:
+    """keys, chunk, start, end: a row for each of token_spans()."""
+    return rows.select(*keys, F.posexplode(token_spans(n, size, overlap)).alias("chunk", "x")).select(*keys, "chunk", "x.start", "x.end")
 
 
 def hop_starts(rows: DataFrame, keys: list[str], n: Column, size: int = 160_000, step: int = 80_000) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from talkspan.operators import merge
@@ -21,19 +23,40 @@ def folded(rows: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.DataFrame
     return rows.groupBy(key).applyInPandas(one, f"{key} {dict(rows.dtypes)[key]}, {schema}")
 
 
+def each(rows: DataFrame, run: Callable[..., tuple], schema: str) -> DataFrame:
+    """run on each row's values, in Arrow batches: what needs no other row. The result's columns follow schema."""
+    names = [f.strip().split(" ")[0] for f in schema.split(", ")]
+    empty = rows.sparkSession.createDataFrame([], schema)
+    kinds = empty._jdf.schema().json()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        import json
+
+        to = to_arrow_schema(StructType.fromJson(json.loads(kinds)))
+        for b in batches:
+            out = [run(*values) for values in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], to.field(n).type) for i, n in enumerate(names)], names)
+
+    return rows.mapInArrow(go, schema)
+
+
 # --- turns
 
 TURN = "start_ms long, end_ms long, speaker int"
 
 
 def natural(turns: list[tuple], word_mids: list[int] | None, short: int = 2000, few: int = 3, gap: int = 2000) -> list[tuple]:
-    """Turns (start, end, speaker) where short ones that lie inside another speaker's stretch take that speaker.
+    """Turns (start, end, speaker) where short stretches inside another speaker's stretch take that speaker.
 
     A stretch is a run of one speaker's turns less than `gap` apart, over others' turns. In order of start, a stretch
-    that is not itself inside one holds those of others that begin before its end and end by it. A turn of a held
-    stretch that is shorter than `short` and has at most `few` words goes to the holder. Fewer than three turns stay.
+    that is not itself inside one holds those of others that begin before its end and end by it. A held stretch that
+    is shorter than `short` as a whole and has at most `few` words (none known: any number) goes to its first holder
+    with all its turns. Fewer than three turns stay.
     """
-    turns = sorted(turns)
+    turns = sorted(turns, key=_order)
     if len(turns) < 3:
         return turns
     by: dict[int, list[list]] = {}
@@ -44,7 +67,7 @@ def natural(turns: list[tuple], word_mids: list[int] | None, short: int = 2000,
             own[-1][3].append(i)
         else:
             own.append([s, e, sp, [i]])
-    stretches = sorted((x for own in by.values() for x in own), key=lambda x: (x[0], x[2]))
+    stretches = sorted((x for own in by.values() for x in own), key=lambda x: x[0])  # at a tie by first appearance
     held: dict[int, int] = {}
     for a, (_, end, sp, _) in enumerate(stretches):
         if a in held:
@@ -56,14 +79,18 @@ def natural(turns: list[tuple], word_mids: list[int] | None, short: int = 2000,
                 held[b] = sp
     out = [list(t) for t in turns]
     for b, sp in held.items():
-        for i in stretches[b][3]:
-            s, e, _ = turns[i]
-            words = None if word_mids is None else sum(s <= m <= e for m in word_mids)
-            if e - s < short and (words is None or words <= few):
+        s, e, _, members = stretches[b]
+        words = sum(s <= m <= e for m in word_mids) if word_mids else 0
+        if e - s < short and words <= few:
+            for i in members:
                 out[i][2] = sp
     return [tuple(t) for t in out]
 
 
+def _order(turn: tuple) -> tuple:
+    return turn[0], turn[2], turn[1]
+
+
 def merged(turns: list[tuple], gap: int | None) -> list[tuple]:
     out: list[list] = []
     for s, e, sp in turns:
@@ -87,7 +114,12 @@ def clean_turns(turns: DataFrame, key: str, ordinal: str = "turn_no") -> DataFra
     500 and then 300 ms merged. Only natural() is a fold; the rest is windows."""
     one = merge.gap_merge(turns, [key], 300, ordinal).withColumnRenamed("n", ordinal)
     two = merge.fragment_zones(one, [key], ordinal=ordinal)
-    three = folded(two, key, lambda pdf: _frame(merged(sorted(natural(_turns(pdf), None)), 500)), TURN)
+
+    def settled(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts = _turns(pdf)
+        return _frame(merged(sorted(natural(ts, None), key=_order), 500) if len(ts) > 2 else ts)
+
+    three = folded(two, key, settled, TURN)
     return merge.gap_merge(three.withColumn(ordinal, three["start_ms"]), [key], 300, ordinal).drop("n")
 
 
@@ -175,19 +207,29 @@ def stitch(chunks: list[dict], overlap_ms: int = 50) -> list[tuple]:
     return out
 
 
-def join_lists(parts: list[list[str]], least: int = 6, blind: int = 8) -> list[str]:
-    """Token lists whose ends repeat each other: the longest shared run of `least` or more is cut in its middle (by
-    ten at most); without one, `blind` tokens go at either side."""
+MARKS = frozenset(":.,?")
+
+
+def join_lists(parts: list[list[str]], most: int = 16, least: int = 6) -> list[str]:
+    """Token lists whose ends repeat each other.
+
+    The last `most` tokens that are no marks meet the first of the next list, in lower case. Of the longest shared run
+    of `least` or more, the first `most` - `least` tokens (but never the whole run) come from the left, the others from
+    the right. Without one all of the left stays and as many tokens of the right go, but its last.
+    """
     out: list[str] = []
     for p in parts:
-        n = next((k for k in range(min(len(out), len(p)), least - 1, -1) if out[-k:] == p[:k]), 0)
         if not out:
             out = list(p)
-        elif n:
-            cut = min(10, n - 1)
-            out = out[: len(out) - cut] + p[n - cut :]
-        else:
-            out = out[: max(0, len(out) - blind)] + p[blind:]
+            continue
+        left = list(islice((i for i in range(len(out) - 1, -1, -1) if out[i] not in MARKS), most))[::-1]
+        right = list(islice((i for i, t in enumerate(p) if t not in MARKS), most))
+        ours, theirs = [out[i].lower() for i in left], [p[i].lower() for i in right]
+        n = next((k for k in range(min(len(ours), len(theirs)), least - 1, -1) if ours[len(ours) - k :] == theirs[:k]), 0)
+        kept = min(most - least, (n or len(right)) - 1)
+        if n:
+            del out[left[len(left) - n + kept] :]
+        out.extend(p[right[kept] :] if right else p)
     return out
 
 

@@ -51,15 +51,18 @@ class Node:
     token: int = -1
     step: float = 0.0  # score of the edge here
     total: float = 0.0  # along the path
-    done: float = 0.0  # of phrases that end here or at suffixes
+    done: float = 0.0  # not zero where a phrase ends here or at a suffix
     is_end: bool = False
     next: dict[int, "Node"] = field(default_factory=dict)
     fail: "Node | None" = None
+    suffix: "Node | None" = None  # the longest phrase that ends here but is shorter than the path
 
 
 class PhraseGraph:
     """Automaton of token phrases: a path through a phrase gains its score by parts, and loses them if it leaves the
-    phrase before its end."""
+    phrase before its end. A path that completes a phrase keeps its score, once, and begins anew at the root; so a
+    phrase that another begins with ends that one too. Of an edge's scores the highest counts; a path's sum is that of
+    when its phrase was added."""
 
     def __init__(self, phrases: Iterable[tuple[list[int], float]]):
         self.root = Node()
@@ -68,19 +71,23 @@ class PhraseGraph:
             node = self.root
             for i, t in enumerate(tokens):
                 child = node.next.setdefault(t, Node(t))
-                child.step = max(child.step, score)
+                child.step = max(child.step, score) if child.step else score
+                child.total = node.total + child.step
                 child.is_end |= i + 1 == len(tokens)
+                if child.is_end:
+                    child.done = child.total
                 node = child
         queue = deque([self.root])
         while queue:  # breadth first: a node's fail lies nearer the root
             node = queue.popleft()
             for t, child in node.next.items():
-                child.total = node.total + child.step
                 f = node.fail
                 while f is not self.root and t not in f.next:
                     f = f.fail
                 child.fail = f.next[t] if node is not self.root and t in f.next else self.root
-                child.done = (child.total if child.is_end else 0.0) + child.fail.done
+                child.suffix = child.fail if child.fail.is_end else child.fail.suffix
+                if child.suffix is not None:
+                    child.done += child.suffix.done
                 queue.append(child)
 
     def forward(self, node: Node, token: int) -> tuple[float, Node]:
@@ -89,7 +96,9 @@ class PhraseGraph:
         while at is not self.root and token not in at.next:
             at = at.fail
         to = at.next.get(token, self.root)
-        return to.total - node.total + to.done, to
+        if to.done == 0.0:
+            return to.total - node.total, to
+        return (to if to.is_end else to.suffix).total - node.total, self.root
 
     def finish(self, node: Node) -> float:
         """What an unfinished phrase gives back at the end."""

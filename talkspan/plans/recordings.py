@@ -109,12 +109,65 @@ def vbx_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.clustered(fx.windows(spark, sf_dir), "item_id", "win_no", "vbx")
 
 
-@query()
+def _joined(source: str, name: str, gap: int) -> str:
+    """CTEs that join a speaker's turns of `source` up to `gap` apart, as `name`."""
+    return f"""
+{name}_a as (select *, lag(speaker) over (partition by item_id order by start_ms, speaker, end_ms) as ps, row_number() over (partition by item_id order by start_ms, speaker, end_ms) as rn from {source}),
+{name}_b as (select *, sum(case when ps is null or ps <> speaker then 1 else 0 end) over (partition by item_id order by rn) as run from {name}_a),
+{name}_c as (select *, max(end_ms) over (partition by item_id, run order by rn rows between unbounded preceding and 1 preceding) as reach from {name}_b),
+{name}_d as (select *, sum(case when reach is null or start_ms - reach > {gap} then 1 else 0 end) over (partition by item_id, run order by rn) as isl from {name}_c),
+{name} as (select item_id, min(start_ms) as start_ms, max(end_ms) as end_ms, any_value(speaker) as speaker from {name}_d group by item_id, run, isl)"""
+
+
+#: Rounds that settle which stretches are held: more than stretches lie in one another.
+_ROUNDS = 8
+_HELD = ",".join(f"""
+st{k + 1} as materialized (select x.item_id, x.speaker, x.isl, case when x.kind <> 0 then x.kind when bool_or(h.kind = 1) then 2 when bool_and(h.kind = 2) then 1 else 0 end as kind
+  from st{k} x left join inside p on p.item_id = x.item_id and p.js = x.speaker and p.ji = x.isl left join st{k} h on h.item_id = p.item_id and h.speaker = p.hs and h.isl = p.hi
+  group by x.item_id, x.speaker, x.isl, x.kind)""" for k in range(_ROUNDS))
+
+
+@query(sql(f"""with {_joined("fx_turns", "one", 300)},
+za as (select *, end_ms - start_ms < 500 as short, row_number() over (partition by item_id order by start_ms) as rn from one),
+zb as (select *, rn - row_number() over (partition by item_id, short order by rn) as zone from za),
+zc as (select *, count(*) over (partition by item_id, short, zone) as size from zb),
+zh as (select item_id, zone, speaker, sum(end_ms - start_ms) as held from zc where short and size >= 3 group by all),
+zt as (select item_id, zone, speaker from zh qualify row_number() over (partition by item_id, zone order by held desc, speaker) = 1),
+zm as (select item_id, zone, min_by(start_ms, rn) as start_ms, max_by(end_ms, rn) as end_ms from zc where short and size >= 3 group by all),
+two as (select item_id, start_ms, end_ms, speaker from zm join zt using (item_id, zone) union all select item_id, start_ms, end_ms, speaker from zc where not (short and size >= 3)),
+s1 as (select *, count(*) over (partition by item_id) as n, max(end_ms) over (partition by item_id, speaker order by start_ms rows between unbounded preceding and 1 preceding) as reach from two),
+s2 as (select *, sum(case when reach is null or start_ms - reach >= 2000 then 1 else 0 end) over (partition by item_id, speaker order by start_ms) as isl from s1),
+v as materialized (select item_id, speaker, isl, min(start_ms) as s, max(end_ms) as e from s2 where n > 2 group by all),
+inside as materialized (select i.item_id, i.speaker as hs, i.isl as hi, j.speaker as js, j.isl as ji, i.s as begun from v i join v j on i.item_id = j.item_id and i.s < j.s and j.s < i.e and j.e <= i.e and i.speaker <> j.speaker),
+st0 as materialized (select v.item_id, v.speaker, v.isl, case when count(p.hs) = 0 then 1 else 0 end as kind from v left join inside p on p.item_id = v.item_id and p.js = v.speaker and p.ji = v.isl group by all),{_HELD},
+held as (select p.item_id, js, ji, min_by(hs, begun) as holder from inside p join st{_ROUNDS} h on h.item_id = p.item_id and h.speaker = hs and h.isl = hi and h.kind = 1
+  join st{_ROUNDS} x on x.item_id = p.item_id and x.speaker = js and x.isl = ji and x.kind = 2 group by all),
+three as (select s2.item_id, start_ms, end_ms, case when v.e - v.s < 2000 then coalesce(holder, s2.speaker) else s2.speaker end as speaker, n
+  from s2 left join v on v.item_id = s2.item_id and v.speaker = s2.speaker and v.isl = s2.isl left join held on held.item_id = s2.item_id and js = s2.speaker and ji = s2.isl),
+many as (select * from three where n > 2),{_joined("many", "four", 500)},
+all4 as (select * from four union all select item_id, start_ms, end_ms, speaker from three where n <= 2),{_joined("all4", "five", 300)}
+select * from five""", "fx_turns"))
 def turn_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.clean_turns(fx.turns(spark, sf_dir), "item_id")
 
 
-@query()
+@query(sql("""
+with cut as (select item_id, turn_no, case when pe > start_ms then (pe + start_ms) // 2 else start_ms end as start_ms, case when end_ms > ns then (end_ms + ns) // 2 else end_ms end as end_ms, speaker
+  from (select *, lead(start_ms) over o as ns, lag(end_ms) over o as pe from fx_turns window o as (partition by item_id order by start_ms, turn_no))),
+a as (select *, lag(speaker) over (partition by item_id order by turn_no) as ps from cut),
+b as (select *, sum(case when ps is null or ps <> speaker then 1 else 0 end) over (partition by item_id order by turn_no) as run from a),
+c as (select *, max(end_ms) over (partition by item_id, run order by turn_no rows between unbounded preceding and 1 preceding) as reach from b),
+d as (select *, sum(case when reach is null or start_ms - reach > 4000 then 1 else 0 end) over (partition by item_id, run order by turn_no) as isl from c),
+j as (select item_id, min_by(start_ms, turn_no) as start_ms, max(end_ms) as end_ms, any_value(speaker) as speaker from d group by item_id, run, isl),
+k as (select *, end_ms - start_ms > 780 as stays, lead(speaker) over (partition by item_id order by start_ms) as next_speaker from j),
+l as (select *, count(*) filter (stays) over (partition by item_id order by start_ms) as no from k),
+f as (select item_id, no, speaker, start_ms, end_ms from l where stays),
+g as (select f.item_id, f.no, f.start_ms, f.speaker, greatest(f.end_ms, coalesce(max(l.end_ms), 0)) as end_ms from f left join l on l.item_id = f.item_id and l.no = f.no and not l.stays and l.next_speaker = f.speaker group by f.item_id, f.no, f.start_ms, f.speaker, f.end_ms),
+h as (select *, lag(speaker) over (partition by item_id order by no) as ps from g),
+i as (select *, sum(case when ps is null or ps <> speaker then 1 else 0 end) over (partition by item_id order by no) as block from h),
+m as (select item_id, speaker, min(start_ms) as start_ms, max(end_ms) as end_ms from i group by item_id, block, speaker),
+r as (select item_id, speaker, row_number() over (partition by item_id order by sum(end_ms - start_ms) desc, speaker) - 1 as rank from m group by item_id, speaker)
+select m.item_id, start_ms, end_ms, rank as speaker from m join r on m.item_id = r.item_id and m.speaker = r.speaker""", "fx_turns"))
 def turn_post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.post_process(fx.turns(spark, sf_dir), "item_id")
 
@@ -145,24 +198,30 @@ def chunk_stitch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitched.join(whole, "conv_id").select("conv_id", "text", (F.col("text") == F.col("whole")).alias("same"))
 
 
-@query()
+@query(r"""select doc_id, cast(len(w) as bigint) as n_words, array_to_string(w, ' ') as text
+from (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents where text is not null) where len(w) > 0""")
 def punct_chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' words in overlapping chunks joined again: one row a document."""
+    """Documents' words in overlapping chunks joined again, one row a document: their words, as the chunks overlap by
+    as much as joining looks at."""
     from talkspan.operators import segment
 
-    parts = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", parts.alias("w")).withColumn("n", F.size("w").cast("long"))
-    chunks = segment.token_chunks(d, ["doc_id"], F.col("n")).join(d.select("doc_id", "w"), "doc_id")
-    chunks = chunks.select("doc_id", "chunk", F.expr("slice(w, int(start) + 1, int(end - start))").alias("part"))
+    parts = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", parts.alias("w")).where(F.size("w") > 0)
+    spans = segment.token_spans(F.size("w").cast("long"))
+    chunks = d.select("doc_id", F.transform(spans, lambda x: F.slice("w", x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))).alias("parts"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        joined = sequences.join_lists([list(p) for p in pdf.sort_values("chunk")["part"]])
-        return pd.DataFrame({"n_words": [len(joined)], "text": [" ".join(joined)]})
+    def run(doc_id: int, parts: list[list[str]]) -> tuple:
+        joined = sequences.join_lists(parts)
+        return doc_id, len(joined), " ".join(joined)
 
-    return sequences.folded(chunks, "doc_id", run, "n_words long, text string")
+    return sequences.each(chunks, run, "doc_id long, n_words long, text string")
 
 
-@query()
+@query(sql(r"""
+with a as (select conv_id, pos, tok, lead(tok) over o as nt, lag(tok) over o as pt from fx_words window o as (partition by conv_id order by pos)),
+b as (select conv_id, pos, case when pt = '.' and regexp_matches(tok, '^\p{Ll}') then replace(upper(tok[1:1]), 'ẞ', 'SS') || tok[2:] else tok end
+    || case when regexp_matches(tok, '^\p{L}+$') and regexp_matches(nt, '^\p{Lu}\p{L}*$') then ' .' else '' end as t from a)
+select conv_id, string_agg(t, ' ' order by pos) as text from b group by conv_id""", "fx_words"))
 def iterative_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations with full stops before capitals and sentences begun with capitals, edited until nothing changes."""
 

@@ -228,16 +228,18 @@ def frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("""
-with p as (select item_id, turn_no, unnest(range(0, 5)) as chunk from fx_turns where turn_no <= 40)
-select item_id, turn_no + chunk * 40 as turn_no, chunk from p""", "fx_turns"))
+with c as (select item_id, turn_no, speaker, (turn_no - 1) // 40 as chunk, row_number() over (partition by item_id, (turn_no - 1) // 40 order by turn_no) as own from fx_turns),
+n as (select item_id, chunk, count(*) as n from c group by all),
+o as (select item_id, chunk, coalesce(sum(n) over (partition by item_id order by chunk rows between unbounded preceding and 1 preceding), 0) as before from n)
+select c.item_id, cast(own + before as bigint) as turn_no, c.chunk, speaker from c join o on c.item_id = o.item_id and c.chunk = o.chunk""", "fx_turns"))
 def append_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of chunks one after another, each with its offset."""
-    t = fx.turns(spark, sf_dir).where("turn_no <= 40").select("item_id", "turn_no")
-    parts = [t.select("item_id", (F.col("turn_no") + c * 40).alias("turn_no"), F.lit(c).cast("long").alias("chunk")) for c in range(5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Turns numbered within chunks of forty, appended again: each chunk's numbers go on after those before it."""
+    t = fx.turns(spark, sf_dir).withColumn("chunk", F.floor((F.col("turn_no") - 1) / 40))
+    own = F.row_number().over(Window.partitionBy("item_id", "chunk").orderBy("turn_no"))
+    parts = t.select("item_id", "chunk", "speaker", own.cast("long").alias("own"))
+    sizes = parts.groupBy("item_id", "chunk").agg(F.max("own").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("item_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(sizes.select("item_id", "chunk", before.alias("before")), ["item_id", "chunk"]).select("item_id", (F.col("own") + F.col("before")).alias("turn_no"), "chunk", "speaker")
 
 
 @query(sql("""

@@ -8,12 +8,12 @@ import uuid
 from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkspan.operators import scoring, sequences, signal, tokens
 from talkspan.plans import fixtures as fx
+from talkspan.plans.fixtures import sql
 from talkspan.plans.registry import query
 from talkspan.streaming import frames as streams
 
@@ -63,7 +63,7 @@ def preset_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+@query("select distinct cast(c_nationkey as bigint) as item_id, true as same from customer")  # what an inverse must give
 def stft_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra and back: the greatest difference."""
 
@@ -86,27 +86,36 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("item_id", "frame_no", (F.aggregate(F.transform(part, lambda v: F.round(v, 6)), F.lit(0.0), lambda a, v: a + v) > 0).alias("positive"))
 
 
-@query()
+@query(sql("""
+with v as (select '▁' || lower(tok[1:3]) as piece, ln(count(*)) - 12 as score from fx_words group by lower(tok[1:3]) order by count(*) desc, lower(tok[1:3]) limit 500),
+w as (select conv_id, pos, lower(tok) as t from fx_words),
+k as (select conv_id, pos, t, unnest(range(0, 4)) as k from w),
+c as (select conv_id, pos, t, k, case when k = 0 then coalesce(v.score, -8.0e0) else v.score end
+    + coalesce(list_sum(list_transform(string_split(t[k + 1:], ''), lambda x: case when x = '' then 0.0e0 when regexp_matches(x, '^[a-z▁]$') then -8.0e0 else -20.0e0 end)), 0.0e0) as score
+  from k left join v on v.piece = '▁' || t[1:k] where k <= length(t)),
+b as (select * from c where score is not null qualify row_number() over (partition by conv_id, pos order by score desc, k desc) = 1)
+select conv_id, pos, list_concat(['▁' || t[1:k]], list_filter(string_split(t[k + 1:], ''), lambda x: x <> '')) as pieces from b""", "fx_words"))
 def unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in pieces of a vocabulary made of frequent prefixes and letters: fixed in size."""
     w = fx.words(spark, sf_dir)
     top = w.groupBy(F.lower(F.substring("tok", 1, 3)).alias("p")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(500).collect()
-    vocab = {("▁" + r["p"]): float(np.log(r["n"])) - 12 for r in top} | {c: -8.0 for c in "abcdefghijklmnopqrstuvwxyz▁"}
+    vocab = {c: -8.0 for c in "abcdefghijklmnopqrstuvwxyz▁"} | {("▁" + r["p"]): float(np.log(r["n"])) - 12 for r in top}
+    return sequences.each(w.select("conv_id", "pos", "tok"), lambda conv, pos, tok: (conv, pos, tokens.unigram(tok.lower(), vocab)), f"conv_id {dict(w.dtypes)['conv_id']}, pos long, pieces array<string>")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pos": pdf["pos"], "pieces": [tokens.unigram(t.lower(), vocab) for t in pdf["tok"]]})
 
-    return sequences.folded(w.select("conv_id", "pos", "tok"), "conv_id", run, "pos long, pieces array<string>")
+#: A fixed vocabulary: beginnings of words and, with ##, what may follow.
+_PIECES = ("the", "and", "th", "in", "##e", "##er", "##in", "##th", "##on", "##an", "##ed", "##s", "##re", "##ou", "##ly", "##ha", "##at", "##ing", "##en", "##st", "##or", "##ti", "##ea", "er", "on", "re", "ou", "an", "ha", "at")
+_FIRST = "|".join(sorted((p for p in _PIECES if not p.startswith("##")), key=len, reverse=True))
+_LATER = "|".join(sorted((p[2:] for p in _PIECES if p.startswith("##")), key=len, reverse=True))
 
 
-@query()
+@query(sql(f"""
+with a as (select conv_id, pos, lower(tok) as t, regexp_extract(lower(tok), '^({_FIRST})') as f from fx_words),
+b as (select *, regexp_extract_all(t[length(f) + 1:], '{_LATER}') as l from a)
+select conv_id, pos, case when f = '' or length(t) > 100 or f || coalesce(array_to_string(l, ''), '') <> t then ['[UNK]'] else list_concat([f], list_transform(l, lambda x: '##' || x)) end as pieces from b""", "fx_words"))
 def word_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = {"the", "and", "th", "in", "##e", "##er", "##in", "##th", "##on", "##an", "##ed", "##s", "##re", "##ou", "##ly", "##ha", "##at", "##ing", "##en", "##st", "##or", "##ti", "##ea", "er", "on", "re", "ou", "an", "ha", "at"}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pos": pdf["pos"], "pieces": [tokens.word_pieces(t.lower(), vocab) for t in pdf["tok"]]})
-
-    return sequences.folded(fx.words(spark, sf_dir).select("conv_id", "pos", "tok"), "conv_id", run, "pos long, pieces array<string>")
+    vocab, w = set(_PIECES), fx.words(spark, sf_dir)
+    return sequences.each(w.select("conv_id", "pos", "tok"), lambda conv, pos, tok: (conv, pos, tokens.word_pieces(tok.lower(), vocab)), f"conv_id {dict(w.dtypes)['conv_id']}, pos long, pieces array<string>")
 
 
 @query()
@@ -119,21 +128,20 @@ def biased_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         lp = x - np.log(np.exp(x).sum(1, keepdims=True))
         return list(tokens.beam_search(lp).tokens), list(tokens.beam_search(lp, graph=graph).tokens)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [one(v) for v in pdf["embedding"]]
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "plain": [g[0] for g in got], "biased": [g[1] for g in got]})
-
-    e = fx.table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    return sequences.folded(e, "label", run, "vec_id long, plain array<int>, biased array<int>").drop("label")
+    e = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return sequences.each(e, lambda i, v: (i, *one(v)), "vec_id long, plain array<int>, biased array<int>")
 
 
-@query()
+@query(sql("""
+with a as (select item_id, win_no, vector, list(vector[1]) over (partition by item_id order by win_no) as firsts from fx_windows),
+s as (select item_id, win_no, vector, list_sum(list_transform(range(1, len(firsts) + 1), lambda i: firsts[i] / pow(2.0e0, len(firsts) - i + 1))) as state from a)
+select item_id, win_no, list_transform(vector[1:3], lambda x: round(tanh(x), 6)) as scores, round(1 / (1 + exp(-state)), 6) as prob from s""", "fx_windows"))
 def pluggable_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in scorer in batches, and a recurrent one along each item's windows."""
     w = fx.windows(spark, sf_dir)
     batch = scoring.scored(w, "vector", lambda: lambda x: np.tanh(x[:, :3]))
     carried = scoring.recurrent(w, "item_id", "win_no", "vector", lambda: 0.0, lambda s, v: ((s + v[0]) / 2, 1 / (1 + np.exp(-(s + v[0]) / 2))))
-    return batch.select("item_id", "win_no", F.transform("scores", lambda x: F.round(x, 6)).alias("scores")).join(carried, ["item_id", "win_no"])
+    return batch.select("item_id", "win_no", F.transform("scores", lambda x: F.round(x, 6)).alias("scores")).join(carried.withColumn("prob", F.round("prob", 6)), ["item_id", "win_no"])
 
 
 def _folder(spark: SparkSession) -> str:
@@ -191,7 +199,11 @@ def chunked_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.clustered(w, "part", "win_no", "agglomerative").select(F.floor(F.col("part") / 1000).alias("item_id"), "win_no", "label")
 
 
-@query()
+@query(sql("""
+with a as (select *, coalesce(sum(end_ - start) over (partition by item_id order by seg_no rows between unbounded preceding and 1 preceding), 0) as pos from fx_segments),
+p as (select unnest([0.15e0, 0.5e0, 0.85e0]) as part),
+b as (select item_id, seg_no, part, start + greatest(0, cast(1000000 * part as bigint) - pos) as s, least(end_, start + cast(1000000 * part as bigint) + 144160 - pos) as e from a, p)
+select item_id, seg_no, cast(s as bigint) as start, cast(e as bigint) as "end", part from b where e > s""", "fx_segments"))
 def quality_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where windows for a quality score would be cut: at 15, 50 and 85 % of each item's speech."""
     from talkspan.operators import joins

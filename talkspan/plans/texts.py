@@ -19,17 +19,18 @@ def normalize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.words(spark, sf_dir).select("conv_id", "pos", text.overlap_word(F.col("tok")).alias("word"))
 
 
-_CASE = """case label when 'LOWER' then lower(t) when 'UPPER' then upper(t) when 'CAPITAL' then upper(t[1:1]) || t[2:]
-  when 'CAPITAL_1' then case when length(t) > 1 then t[1:1] || upper(t[2:2]) || t[3:] else t end
-  when 'UPPER_-1' then case when length(t) > 1 then upper(t[1:length(t) - 1]) || right(t, 1) else t end else t end"""
+_UP = "replace(upper({}), 'ẞ', 'SS')"  # sharp s has two capitals
+_CASE = f"""case label when 'LOWER' then lower(t) when 'UPPER' then {_UP.format("t")} when 'CAPITAL' then {_UP.format("t[1:1]")} || t[2:]
+  when 'CAPITAL_1' then case when length(t) > 1 then t[1:1] || {_UP.format("t[2:2]")} || t[3:] else t end
+  when 'UPPER_-1' then case when length(t) > 1 then {_UP.format("t[1:length(t) - 1]")} || right(t, 1) else t end else t end"""
 
 
 @query(sql(f"""
 select conv_id, pos, label, {_CASE} as changed from
-  (select conv_id, pos, tok as t, ['LOWER', 'UPPER', 'CAPITAL', 'CAPITAL_1', 'UPPER_-1', 'KEEP'][pos % 6 + 1] as label from fx_words where not regexp_matches(tok, '[^ -~]'))""", "fx_words"))
+  (select conv_id, pos, tok as t, ['LOWER', 'UPPER', 'CAPITAL', 'CAPITAL_1', 'UPPER_-1', 'KEEP'][pos % 6 + 1] as label from fx_words)""", "fx_words"))
 def case_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.element_at(F.array(*map(F.lit, ("LOWER", "UPPER", "CAPITAL", "CAPITAL_1", "UPPER_-1", "KEEP"))), (F.col("pos") % 6 + 1).cast("int"))
-    w = fx.words(spark, sf_dir).where(~F.col("tok").rlike("[^ -~]")).withColumn("label", labels)
+    w = fx.words(spark, sf_dir).withColumn("label", labels)
     return w.select("conv_id", "pos", "label", text.change_case(F.col("tok"), F.col("label")).alias("changed"))
 
 
@@ -45,19 +46,31 @@ def collapse_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (F.length("t") - F.length(F.replace("t", F.lit(",")))).alias("commas"), F.length("t").alias("n"), F.sha2("t", 256).alias("digest"))
 
 
-@query()
+_WS = r"[ \t\n\x0B\f\r]"
+
+
+@query(rf"""
+with a as (select doc_id, regexp_replace(regexp_replace(replace(text, ':', ' '), '({_WS}*,)+', ',', 'g'), '\.{{4,}}', '...', 'g') as t from documents),
+b as (select doc_id, regexp_replace(regexp_replace(t, ',{_WS}*\.', '.', 'g'), '([,?]){_WS}*', '\1 ', 'g') as t from a),
+c as (select doc_id, regexp_replace(regexp_replace(t, '\.{_WS}+', '. ', 'g'), '\.([^. \t\n\x0B\f\r])', '. \1', 'g') as t from b),
+d as (select doc_id, regexp_replace(regexp_replace(t, '{_WS}+([,.?])', '\1', 'g'), '^{_WS}*,{_WS}*', '') as t from c),
+e as (select doc_id, trim(regexp_replace(t, '{_WS}+', ' ', 'g')) as t from d),
+f as (select doc_id, list_filter(string_split(regexp_replace(t, '([.?!]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as l from e),
+g as (select doc_id, list_transform(l, lambda x: case when instr(x, ',') > 0 and len(list_filter(string_split(x, ' '), lambda y: y <> '')) < 8
+    then left(x, instr(x, ',')) || replace(substr(x, instr(x, ',') + 1), ',', '') else x end) as l from f)
+select doc_id, array_to_string(list_transform(l, lambda x: replace(upper(x[1:1]), 'ẞ', 'SS') || x[2:]), ' ') as polished from g""")
 def post_process_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", text.polish(F.col("text")).alias("polished"))
 
 
 _PHRASE = r"""
-p as (select pos, upper(regexp_replace(trim(case when m <> '' then regexp_extract(line, '^(.*):\s*[-+]?[0-9]*\.?[0-9]+\s*$', 1) else line end), '\s+', ' ', 'g')) as phrase,
+p as (select pos, replace(upper(regexp_replace(trim(case when m <> '' then regexp_extract(line, '^(.*):\s*[-+]?[0-9]*\.?[0-9]+\s*$', 1) else line end), '\s+', ' ', 'g')), 'ẞ', 'SS') as phrase,
     least(8.0e0, greatest(0.0e0, coalesce(try_cast(nullif(m, '') as double), 1.5e0))) as score
-  from (select pos, line, regexp_extract(line, '^(.*):\s*([-+]?[0-9]*\.?[0-9]+)\s*$', 2) as m from fx_hotword_lines where trim(line) <> '' and not starts_with(trim(line), '#')) where not contains(line, 'ß'))"""
+  from (select pos, line, regexp_extract(line, '^(.*):\s*([-+]?[0-9]*\.?[0-9]+)\s*$', 2) as m from fx_hotword_lines where trim(line) <> '' and not starts_with(trim(line), '#')))"""
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fx.hotword_lines(spark, sf_dir).where(text.is_phrase_line(F.col("line")) & ~F.contains("line", F.lit("ß")))
+    lines = fx.hotword_lines(spark, sf_dir).where(text.is_phrase_line(F.col("line")))
     phrase, score = text.phrase_score(F.col("line"), 1.5)
     return lines.select("pos", phrase.alias("phrase"), score.alias("score"))
 
@@ -85,21 +98,28 @@ def hotword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(spark, sf_dir).agg(F.count_if(F.contains("phrase", F.lit("TH"))).alias("visible"), F.count("*").alias("total"))
 
 
+#: Letters beyond ASCII as capitals and control characters, as words hold neither and levenshtein() counts bytes.
 _ALIGN = r"""
-a as (select item_id, w, unnest(range(len(w))) as i, unnest(w) as tok from (select item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')[1:24] as w from benchmark where not regexp_matches(text, '[^ -~\n]'))),
-tail as (select item_id, i, tok from a where i < 12), head as (select item_id, i, tok from a where i >= 8 and i < 20),
-m as (select t.item_id, h.i - 8 - t.i as off_, count(*) filter (t.tok = h.tok or (length(t.tok) > 2 and length(h.tok) > 2 and (contains(t.tok, h.tok) or contains(h.tok, t.tok)))
+t as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}_]+'), lambda x: x <> '') as w from benchmark where text is not null),
+odd as (select coalesce(string_agg(c, '' order by c), '') as s from (select distinct unnest(regexp_extract_all(array_to_string(w, ''), '[^a-z0-9_]')) as c from t)),
+plain as (select item_id, list_transform(w, lambda x: translate(x, odd.s, array_to_string(list_transform(list_concat(range(65, 91), range(1, 32)), lambda k: chr(cast(k as integer))), ''))) as w from t, odd where len(w) > 0),
+a as (select item_id, w[greatest(1, (len(w) * 3 + 4) // 5 - 99) : (len(w) * 3 + 4) // 5] as tails, w[len(w) * 2 // 5 + 1 : len(w) * 2 // 5 + 100] as heads from plain),
+tail as (select item_id, unnest(range(len(tails))) as i, unnest(tails) as tok from a), head as (select item_id, unnest(range(len(heads))) as i, unnest(heads) as tok from a),
+m as (select t.item_id, h.i - t.i as off_, count(*) filter (t.tok = h.tok or (length(t.tok) > 2 and length(h.tok) > 2 and (contains(t.tok, h.tok) or contains(h.tok, t.tok)))
    or 1 - levenshtein(t.tok, h.tok) / greatest(length(t.tok), length(h.tok)) >= 0.8) as matches, count(*) as pairs from tail t join head h on t.item_id = h.item_id group by all)"""
 
 
 @query(f"with {_ALIGN} select item_id, off_ as offset_, matches, pairs from m where matches > 0 qualify row_number() over (partition by item_id order by matches / pairs desc, off_) <= 3")
 def fuzzy_offset_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping word runs laid over each other at every offset: matches by offset, and the best three."""
-    parts = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
-    b = fx.table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^ -~\n]")).select("item_id", F.posexplode(F.slice(parts, 1, 24)).alias("i", "tok"))
-    tail = b.where("i < 12")
-    head = b.where("i >= 8 and i < 20").select("item_id", F.col("i").alias("j"), F.col("tok").alias("other"))
-    pairs = tail.join(head, "item_id").groupBy("item_id", (F.col("j") - 8 - F.col("i")).alias("offset_"))
+    """Texts cut into two parts that share a fifth: the last words of the first part and the first of the second (100
+    at most, as far as alignment looks) laid over each other at every offset; matches by offset, and the best three."""
+    parts = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{Nd}_]+"), lambda x: x != "")
+    b = fx.table(spark, sf_dir, "benchmark").select("item_id", parts.alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    end = F.floor((F.col("n") * 3 + 4) / 5).cast("int")
+    begin = F.greatest(F.lit(0), end - 100)
+    tail = b.select("item_id", F.posexplode(F.slice("w", begin + 1, end - begin)).alias("i", "tok"))
+    head = b.select("item_id", F.posexplode(F.slice("w", F.floor(F.col("n") * 2 / 5).cast("int") + 1, 100)).alias("j", "other"))
+    pairs = tail.join(head, "item_id").groupBy("item_id", (F.col("j") - F.col("i")).alias("offset_"))
     m = pairs.agg(F.count_if(text.words_match(F.col("tok"), F.col("other"))).alias("matches"), F.count("*").alias("pairs")).where("matches > 0")
     best = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.col("matches") / F.col("pairs")), "offset_"))
     return m.withColumn("r", best).where("r <= 3").drop("r")

@@ -136,9 +136,43 @@ def test_natural_and_blips():
     rows = [(0, 3000, 0), (3100, 3500, 1), (3600, 9000, 0), (9100, 20000, 1)]
     assert sequences.natural(rows, None)[1] == (3100, 3500, 0)
     assert sequences.natural(rows, [3200, 3250, 3300, 3350])[1] == (3100, 3500, 1)
+    long = [(0, 10000, 0), (1000, 2400, 1), (2600, 4000, 1)]  # a stretch of three seconds, though its turns are short
+    assert sequences.natural(long, None) == long
+    brief = [(0, 10000, 0), (1000, 1400, 1), (1600, 2400, 1)]
+    assert [t[2] for t in sequences.natural(brief, None)] == [0, 0, 0]
+    assert [t[2] for t in sequences.natural(brief, [1100, 1200, 1700, 1800])] == [0, 1, 1]  # four words in all
     assert sequences.drop_blips([(0, 1000, 0), (1000, 1500, 1), (1500, 3000, 0), (3000, 3100, 1)]) == [(0, 1500, 0), (1500, 3000, 0)]
 
 
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(1, 60), st.integers(0, 3)), min_size=3, max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_natural_by_the_rules(raw):
+    """Step by step: stretches, who holds whom, and which held ones move."""
+    turns = sorted({(s * 100, (s + n) * 100, sp) for s, n, sp in raw}, key=lambda t: (t[0], t[2], t[1]))
+    stretch, open_ = {}, {}
+    spans = []
+    for i, (s, e, sp) in enumerate(turns):
+        k = open_.get(sp)
+        if k is None or s - spans[k][1] >= 2000:
+            k = open_[sp] = len(spans)
+            spans.append([s, e, sp])
+        spans[k][1] = max(spans[k][1], e)
+        stretch[i] = k
+    seen = list(dict.fromkeys(t[2] for t in turns))
+    order = sorted(range(len(spans)), key=lambda k: (spans[k][0], seen.index(spans[k][2])))
+    holder = {}
+    for n, k in enumerate(order):
+        for j in order[n + 1 :] if k not in holder else []:
+            if spans[j][0] < spans[k][1] and spans[j][1] <= spans[k][1] and spans[j][2] != spans[k][2]:
+                holder.setdefault(j, spans[k][2])
+    want = []
+    for i, (s, e, sp) in enumerate(turns):
+        k = stretch[i]
+        want.append((s, e, holder[k] if k in holder and spans[k][1] - spans[k][0] < 2000 else sp))
+    if len(turns) > 2:
+        assert sequences.natural(turns, None) == want
+
+
 @given(st.lists(st.text("abcdefgh", min_size=3, max_size=8), min_size=30, max_size=120, unique=True), st.integers(4000, 9000))
 @settings(max_examples=25, deadline=None)
 def test_stitching_restores_the_text(words, size):
@@ -159,6 +193,14 @@ def test_stitching_prefers_the_surer_words():
 def test_joining_lists():
     parts = [list(map(str, range(0, 56))), list(map(str, range(40, 96))), list(map(str, range(80, 100)))]
     assert sequences.join_lists(parts) == list(map(str, range(100)))
+    words = lambda a, n: [f"{a}{i}" for i in range(n)]
+    assert len(sequences.join_lists([words("a", 40), words("b", 40)])) == 70  # nothing shared: ten of the right go
+    assert sequences.join_lists([words("a", 7), words("b", 8)]) == words("a", 7) + ["b7"]
+    seam = ["x", *words("S", 7)]
+    assert sequences.join_lists([seam, [w.lower() for w in words("S", 7)] + ["y"]]) == ["x", *words("S", 6), "s6", "y"]  # cases differ
+    assert sequences.join_lists([words("a", 6) + ["."], ["a0", ",", *words("a", 6)[1:], "z"]]) == ["a0", "a1", "a2", "a3", "a4", "a5", "z"]  # marks do not count
+    assert sequences.join_lists([words("a", 3), [".", ","]]) == [*words("a", 3), ".", ","]
+    assert sequences.join_lists([]) == [] and sequences.join_lists([[], ["a"]]) == ["a"]
 
 
 def test_edits():
@@ -298,6 +340,18 @@ def test_tokens_and_search():
     assert math.isclose(gain + g.finish(node), 4.0)  # the second phrase, found at the first one's fail link
     gain, node = g.forward(g.root, 1)
     assert math.isclose(gain + g.finish(node), 0.0)
+    once = tokens.PhraseGraph([([3, 5], 1.0), ([3, 5, 7], 1.0)])
+    gain, node = 0.0, once.root
+    for t in (3, 5, 7):
+        more, node = once.forward(node, t)
+        gain += more
+    assert node is once.root and math.isclose(gain + once.finish(node), 2.0)  # the shorter phrase ends the longer
+    inner = tokens.PhraseGraph([([1, 2, 3, 4], 1.0), ([2, 3], 5.0)])
+    gains, node = [], inner.root
+    for t in (1, 2, 3, 4):
+        more, node = inner.forward(node, t)
+        gains.append(more)
+    assert gains == [1.0, 1.0, 8.0, 0.0] and node is inner.root  # the path is given up for the phrase within it
     lp = np.log(np.array([[0.5, 0.4, 0.1], [0.1, 0.6, 0.3], [0.8, 0.1, 0.1]]))
     best = {}
     for path in np.ndindex(3, 3, 3):
