@@ -4,12 +4,13 @@ Texts are cut into words that no piece crosses; a batch's distinct words of equa
 hashes of all their substrings probe the sorted piece keys. A Viterbi pass keeps the best score at every position and
 the piece that reached it. For unigram models all paths count. A BPE model's own encoder merges instead, the best-scored
 neighbouring pair of symbols first and the leftmost at a tie; there only paths count whose neighbouring pieces merging
-would leave side by side, which makes the path the merged one. Characters of no piece fall back to bytes.
+would leave side by side, which makes the path the merged one. Whether two pieces stay apart is read off the merges that
+made them, undone from the last to the first, for many pairs at once. Long words are cut where no piece crosses.
+Characters of no piece fall back to bytes.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,17 +29,17 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BASE, LENGTH = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Penalty below the worst piece for a character of no piece.
 UNKNOWN_PENALTY = 10.0
-#: Words longer than this merge by a heap, as batches of them would take quadratic time.
-LONG = 256
+#: Words longer than this are cut where no piece crosses, as far as there are such places.
+CUT = 32
 #: Highest bits of keys by which substrings are sieved before they are looked for among the sorted keys.
 SIEVE_BITS = 20
 SIEVE_SHIFT = np.uint64(64 - SIEVE_BITS)
 #: Pairs of pieces of which a worker remembers whether they stay apart, as a power of two.
-ASKED_BITS = 21
-#: Pairs that are merged one by one rather than as a batch.
-FEW = 150
-#: Words whose ids a worker holds from batch to batch; beyond, it begins anew.
-HELD_WORDS = 250_000
+ASKED_BITS = 20
+#: Words whose ids a worker holds from batch to batch; beyond, it keeps the KEPT that came most often.
+HELD_WORDS, KEPT = 300_000, 100_000
+#: Rows that advance position by position in Python rather than as a batch: a few long ones.
+ROWS = 4
 #: Characters of text whose words are gathered before they are encoded.
 GATHER = 1 << 22
 
@@ -108,10 +109,14 @@ class PieceModel:
         self.unknown_score = np.float32(self.scores[usable].min() - UNKNOWN_PENALTY)
         self.by_text = {self.pieces[i]: i for i in usable}
         self.byte_ids = {self.pieces[i]: i for i, t in enumerate(self.types) if t == BYTE}
+        # whether letters and other characters, but for the space before a word, never meet within a piece
+        self.letters_apart = not any(a != SPACE and a.isalpha() != b.isalpha() for i in usable for a, b in zip(self.pieces[i], self.pieces[i][1:], strict=False))
         self.breaks = not any("\n" in self.pieces[i] and len(self.pieces[i]) > 1 for i in usable)
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
         with np.errstate(over="ignore"):
             self.powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(self.longest, BASE))))
+        if self.kind == BPE:
+            self._merges(np.array(usable))
 
     def _surface(self, i: int) -> bytes:
         if self.types[i] == BYTE:
@@ -134,31 +139,72 @@ class PieceModel:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
+    def _merges(self, usable: np.ndarray) -> None:
+        """What merges each piece is made by: `made`, the last one's place in the order of merges (-1: a character),
+        its two sides, and whether merging makes the piece from its own text at all."""
+        n = len(self.pieces)
+        self.sizes = np.array([len(x) for x in self.pieces], np.int64)
+        self.rank = np.full(n + 1, 2 * n)  # the last stands for no piece
+        self.rank[usable[np.argsort(-self.scores[usable], kind="stable")]] = np.arange(len(usable))
+        self.hashes = np.zeros(n, np.uint64)
+        self.made, self.left, self.right, self.whole = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n + 2, bool)
+        self.whole[-1] = True  # a character of no piece
+        for size in range(1, self.longest + 1):
+            ids = usable[self.sizes[usable] == size]
+            prefix = prefix_hashes(self.codes[ids, :size])
+            self.hashes[ids] = prefix[:, -1]
+            if size == 1:
+                self.whole[ids] = True
+            for cut in range(1, size):
+                rows = np.arange(len(ids))
+                x = self.probe(prefix[:, cut], np.array(cut))
+                with np.errstate(over="ignore"):
+                    y = self.probe(prefix[:, size] - prefix[:, cut] * self.powers[size - cut], np.array(size - cut))
+                rows = rows[(x >= 0) & (y >= 0) & self.whole[x] & self.whole[y]]
+                rows = rows[self.apart(x[rows], y[rows], self.rank[ids[rows]])]
+                p = ids[rows]
+                self.made[p], self.left[p], self.right[p], self.whole[p] = self.rank[p], x[rows], y[rows], True
+
+    def apart(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """Whether merging leaves whole pieces x and y side by side, by merges earlier than `limit`.
+
+        The merges of both are undone from the last on. What then meets at the seam must not merge before the merge
+        just undone: before it comes what ranks higher and, of merges of one rank, what lies further left.
+        """
+        out, live = np.ones(len(x), bool), np.arange(len(x))
+        limit = np.full(len(x), 2 * len(self.pieces)) if limit is None else limit
+        while len(live):
+            size = self.sizes[x] + self.sizes[y]
+            fits = size <= self.longest
+            with np.errstate(over="ignore"):
+                both = self.hashes[x] * self.powers[np.where(fits, self.sizes[y], 0)] + self.hashes[y]
+            joined = self.rank[np.where(fits, self.probe(both, size), -1)]
+            merged = joined < limit
+            out[live[merged]] = False
+            first = self.made[x] > self.made[y]
+            last = np.where(first, self.made[x], self.made[y])
+            go = ~merged & (last >= 0)
+            limit = np.where(first, last, last + 1)[go]
+            x, y, live = np.where(first, self.right[x], x)[go], np.where(first, y, self.left[y])[go], live[go]
+        return out
+
     def follows(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Whether merging leaves piece `ids` whole after piece `before`: len(pieces) for the beginning, one more for a
         character of no piece. What has been asked is kept in a table of fixed size, by hash."""
         if "_asked" not in self.__dict__:
-            usable = self.ids[np.argsort(self.ids)]
-            self._whole = np.zeros(len(self.pieces) + 2, bool)
-            self._whole[usable] = [x == [i] for i, x in zip(usable.tolist(), encode_words(self, [self.pieces[i] for i in usable], "merge"), strict=True)]
-            self._whole[-1] = True
             self._asked, self._yes = np.full(1 << ASKED_BITS, -1), np.zeros(1 << ASKED_BITS, bool)
         key = before.astype(np.int64) * (len(self.pieces) + 2) + ids
         with np.errstate(over="ignore"):
             slot = ((key.astype(np.uint64) * LENGTH) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)
-        out = self._whole[ids]
+        out = self.whole[ids]
         pair = out & (before < len(self.pieces)) & (ids < len(self.pieces))
         held = self._asked[slot] == key
-        out[pair & held] = self._yes[slot[pair & held]]
+        out = np.where(pair & held, self._yes[slot], out)
         new = np.nonzero(pair & ~held)[0]
         if len(new):
-            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
-            a, b = before[new[first]].tolist(), ids[new[first]].tolist()
-            pairs = [self.pieces[x] + self.pieces[y] for x, y in zip(a, b, strict=True)]
-            got = [merge_one(self, p) for p in pairs] if len(pairs) < FEW else encode_words(self, pairs, "merge")
-            yes = np.array([g == [x, y] for g, x, y in zip(got, a, b, strict=True)])
-            self._asked[slot[new]], self._yes[slot[new]] = key[new], yes[back]
-            out[new] = yes[back]
+            yes = self.apart(before[new], ids[new])
+            self._asked[slot[new]], self._yes[slot[new]] = key[new], yes
+            out[new] = yes
         return out
 
     def fallback(self, char: int) -> list[int]:
@@ -277,6 +323,47 @@ def merged_path(m: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return piece, back
 
 
+def scan(m: PieceModel, codes: np.ndarray, merged: bool) -> tuple[np.ndarray, np.ndarray]:
+    """viterbi() or merged_path() of one row: pieces and neighbours are looked up for all positions at once, and the
+    maxima are taken position by position."""
+    length = codes.shape[1]
+    start, size, ids = [], [], []
+    for k, found in enumerate(lattice(m, codes), 1):
+        at = np.arange(length) if k == 1 else np.nonzero(found[0] >= 0)[0]  # a character of no piece is one step too
+        start.append(at)
+        size.append(np.full(len(at), k))
+        ids.append(found[0][at])
+    start, size, ids = np.concatenate(start), np.concatenate(size), np.concatenate(ids)
+    order = np.lexsort((-size, start + size))
+    start, end, ids = start[order], (start + size)[order], ids[order]
+    state = np.where(ids < 0, len(m.pieces) + 1, ids)
+    score = np.where(ids < 0, m.unknown_score, m.scores[ids]).astype(np.float32)
+    good: set[int] = set()
+    base = len(m.pieces) + 2
+    if merged:
+        # every two that meet at a position, each pair of pieces once
+        keys = [np.unique(len(m.pieces) * base + state[start == 0])]
+        first, last = np.searchsorted(end, np.arange(length + 1)), np.searchsorted(end, np.arange(length + 1), "right")
+        for a in range(0, len(start), 1 << 16):
+            s, n = start[a : a + (1 << 16)], state[a : a + (1 << 16)]
+            count = last[s] - first[s]
+            row = np.repeat(np.arange(len(s)), count)
+            before = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[s][row]
+            keys.append(np.unique(state[before] * base + n[row]))
+        every = np.unique(np.concatenate(keys))
+        good = set(every[m.follows(every // base, every % base)].tolist())
+    best: list[np.float32 | None] = [None] * (length + 1)
+    held, back = [len(m.pieces)] * (length + 1), [1] * (length + 1)
+    best[0] = np.float32(0)
+    for s, e, n, x in zip(start.tolist(), end.tolist(), state.tolist(), score, strict=True):
+        if best[s] is not None and (not merged or held[s] * base + n in good):
+            value = best[s] + x
+            if best[e] is None or value > best[e]:
+                best[e], held[e], back[e] = value, n, e - s
+    piece = np.array([-3 if b is None else -1 if h == base - 1 else h for b, h in zip(best, held, strict=True)])
+    return piece[None, :], np.array(back)[None, :]
+
+
 def _walk(m: PieceModel, codes: np.ndarray, piece: np.ndarray, back: np.ndarray) -> list[list[int]]:
     """Ids of each word along the backpointers."""
     n, length = codes.shape
@@ -352,46 +439,17 @@ def merges(m: PieceModel, codes: np.ndarray) -> list[list[int]]:
     return _ids(m, np.where(here, ids, -2), codes[r, np.minimum(a, length - 1)])
 
 
-def merge_one(m: PieceModel, word: str) -> list[int]:
-    """Ids of one word, by a heap of pairs: for words of any length."""
-    ids = m.by_text
-    n = len(word)
-    end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap: list[tuple[float, int, int, int]] = []
-
-    def push(a: int) -> None:
-        b = end[a]
-        if b < n and (i := ids.get(word[a : end[b]])) is not None:
-            heapq.heappush(heap, (-float(m.scores[i]), a, b, end[b]))
-
-    for a in range(n - 1):
-        push(a)
-    while heap:
-        _, a, b, e = heapq.heappop(heap)
-        if not (alive[a] and end[a] == b and alive[b] and end[b] == e):
-            continue
-        alive[b] = False
-        end[a] = e
-        if e < n:
-            prev[e] = a
-        if prev[a] >= 0:
-            push(prev[a])
-        push(a)
-    out: list[int] = []
-    a = 0
-    while a < n:
-        i = ids.get(word[a : end[a]])
-        out.extend([i] if i is not None else m.fallback(ord(word[a])))
-        a = end[a]
-    return out
-
-
 def _settle(m: PieceModel, codes: np.ndarray, algorithm: str) -> list[list[int]]:
-    if algorithm == "viterbi":
-        return _walk(m, codes, *viterbi(m, codes))
     if algorithm == "merge":
         return merges(m, codes)
-    piece, back = merged_path(m, codes)
+    few = len(codes) <= ROWS and codes.shape[1] > CUT
+    if algorithm == "viterbi":
+        return [ids for row in codes for ids in _walk(m, row[None, :], *scan(m, row[None, :], False))] if few else _walk(m, codes, *viterbi(m, codes))
+    if few:
+        parts = [scan(m, row[None, :], True) for row in codes]
+        piece, back = np.concatenate([p for p, _ in parts]), np.concatenate([b for _, b in parts])
+    else:
+        piece, back = merged_path(m, codes)
     lost = np.nonzero(piece[:, -1] == -3)[0]
     got = _walk(m, codes, np.maximum(piece, -1), back)
     if len(lost):  # a vocabulary with pieces that merging makes in company only
@@ -405,21 +463,46 @@ def encode_words(m: PieceModel, words: list[str], algorithm: str) -> list[list[i
     paths that merging leaves), or "merge" (the merges themselves, which settle pairs and check the rest)."""
     out: list[list[int]] = [[]] * len(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for length in np.unique(lengths):
+    if algorithm != "merge":
+        long = np.nonzero(lengths > CUT)[0].tolist()
+        parts = [cut(m, words[i]) for i in long]
+        got = _by_length(m, [w for p in parts for w in p], algorithm)
+        ends = np.cumsum([0] + [len(p) for p in parts]).tolist()
+        for i, s, e in zip(long, ends, ends[1:], strict=False):
+            out[i] = list(chain.from_iterable(got[s:e]))
+        few = np.nonzero(lengths <= CUT)[0].tolist()
+    else:
+        few = list(range(len(words)))
+    for i, ids in zip(few, _by_length(m, [words[i] for i in few], algorithm), strict=True):
+        out[i] = ids
+    return out
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Characters of words of equal length."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1)
+
+
+def cut(m: PieceModel, word: str) -> list[str]:
+    """The word's parts between positions that no piece crosses: no path and no merge does."""
+    change = np.zeros(len(word) + 1, np.int64)
+    for k, ids in enumerate(lattice(m, _codes([word]))[1:], 2):
+        at = np.nonzero(ids[0] >= 0)[0]
+        np.add.at(change, at + 1, 1)
+        np.add.at(change, at + k, -1)
+    ends = [0, *(np.nonzero(np.cumsum(change)[1:-1] == 0)[0] + 1).tolist(), len(word)]
+    return [word[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _by_length(m: PieceModel, words: list[str], algorithm: str) -> list[list[int]]:
+    out: list[list[int]] = [[]] * len(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    for length in np.unique(lengths[lengths > 0]):
         at = np.nonzero(lengths == length)[0]
-        if length == 0:
-            continue
-        if algorithm != "viterbi" and length > LONG:
-            for i in at.tolist():
-                out[i] = merge_one(m, words[i])
-            continue
         step = max(1, (1 << 20) // int(length * min(length, m.longest)))
         for s in range(0, len(at), step):
             part = at[s : s + step].tolist()
-            raw = "".join([words[i] for i in part]).encode("utf-32-le", "surrogatepass")
-            codes = np.frombuffer(raw, "<u4").reshape(len(part), length)
-            got = _settle(m, codes, algorithm)
-            for i, ids in zip(part, got, strict=True):
+            for i, ids in zip(part, _settle(m, _codes([words[i] for i in part]), algorithm), strict=True):
                 out[i] = ids
     return out
 
@@ -455,34 +538,90 @@ def algorithm_of(m: PieceModel) -> str:
 
 
 class _Words:
-    """Words that have been encoded, and their ids one after another."""
+    """Words that have been encoded, their ids one after another, and whether those decode to the word."""
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.sizes, self.flat, self.same = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.asked = np.zeros(0, np.int64)
+
+    def shrink(self, most: int) -> None:
+        """Keeps the `most` words that came most often."""
+        keep = np.zeros(len(self.sizes), bool)
+        keep[np.argsort(-self.asked, kind="stable")[:most]] = True
+        self.flat = self.flat[np.repeat(keep, self.sizes)]
+        self.sizes, self.same, self.asked = self.sizes[keep], self.same[keep], self.asked[keep] // 2
+        words = [w for w, k in zip(self.number, keep.tolist(), strict=True) if k]
+        self.number = dict(zip(words, range(len(words)), strict=True))
+
+
+#: What stands for a line break, what a line begins with, and what a part of a word but its first, where texts are cut at
+#: spaces; texts that hold them, and those with spaces side by side or at an end, are cut by split().
+_BREAK, _BEGIN, _MORE = "\x01", "\x02", "\x03"
+
+
+def _numbers(m: PieceModel, texts: list[str], number: dict[str, int]) -> list[np.ndarray]:
+    """Each text's words by number; new words get the next ones."""
+    out: list[np.ndarray | None] = [None] * len(texts)
+    easy = []
+    for i, t in enumerate(texts):
+        if t and m.dummy_prefix and m.breaks and "  " not in t and " \n" not in t and t[0] not in " \n" and t[-1] != " " and not any(x in t for x in (_BREAK, _BEGIN, _MORE)):
+            easy.append(i)
+        else:
+            out[i] = np.array([number.setdefault(w, len(number)) for w in split(m, t)], np.int64)
+    if easy:
+        marked = pa.array([texts[i].replace("\n", f" {_BREAK} {_BEGIN}") if "\n" in texts[i] else texts[i] for i in easy], pa.large_string())
+        if m.letters_apart:  # words end where letters do: fewer words to encode
+            for pattern in (rf"(\pL)([^\pL ])", rf"([^\pL {_BEGIN}])(\pL)"):
+                marked = pc.replace_substring_regex(marked, pattern, rf"\1 {_MORE}\2")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        known = np.empty(len(coded.dictionary), np.int64)
+        for k, w in enumerate(coded.dictionary.to_pylist()):
+            # an empty line and a line that begins with a space leave _BEGIN alone: no word, but the next keeps its space
+            word = "\n" if w == _BREAK else w[1:] if w[0] in (_BEGIN, _MORE) else SPACE + w
+            known[k] = number.setdefault(word, len(number)) if word else -1
+        flat = known[coded.indices.to_numpy()]
+        ends = lists.offsets.to_numpy().tolist()
+        for i, s, e in zip(easy, ends, ends[1:], strict=False):
+            part = flat[s:e]
+            out[i] = part[part >= 0]
+    return out
 
 
-def encode_texts(m: PieceModel, texts: list[str], algorithm: str | None = None) -> list[np.ndarray]:
-    """Ids of each text. A word is encoded once for all of them, and once for later calls too while it is held."""
+def encode_texts(m: PieceModel, texts: list[str], algorithm: str | None = None) -> tuple[list[np.ndarray], list[bool]]:
+    """Ids of each text, and whether they decode to it: they do if each word's do, as decoding goes word by word.
+    A word is encoded once for all texts, and once for later calls too while it is held."""
     algorithm = algorithm or algorithm_of(m)
     held = m.__dict__.setdefault("_words", {})
-    if algorithm not in held or len(held[algorithm].number) > HELD_WORDS:
-        held[algorithm] = _Words()
-    store = held[algorithm]
-    number, known = store.number, len(store.number)
-    at = [np.array([number.setdefault(w, len(number)) for w in split(m, t)], np.int64) for t in texts]
-    got = encode_words(m, list(islice(number, known, None)), algorithm)
+    store = held.setdefault(algorithm, _Words())
+    if len(store.number) > HELD_WORDS:
+        store.shrink(KEPT)
+    known = len(store.number)
+    at = _numbers(m, texts, store.number)
+    words = list(islice(store.number, known, None))
+    got = encode_words(m, words, algorithm)
     new = np.fromiter(map(len, got), np.int64, len(got))
+    ids = np.fromiter(chain.from_iterable(got), np.int32, int(new.sum()))
+    raw = [w.replace(SPACE, " ").encode("utf-8", "surrogatepass") for w in words]
+    surface = [m.surface[i] for i in ids.tolist()]
+    ends = np.cumsum(np.fromiter(map(len, surface), np.int64, len(surface)))
+    at_words = np.concatenate(([0], ends))[np.cumsum(new)]
+    same = np.ones(len(words), bool)
+    if not (np.array_equal(at_words, np.cumsum([len(r) for r in raw])) and b"".join(surface) == b"".join(raw)):
+        same[:] = [b"".join([m.surface[i] for i in g]) == r for g, r in zip(got, raw, strict=True)]
     store.sizes = np.concatenate((store.sizes, new))
-    store.flat = np.concatenate((store.flat, np.fromiter(chain.from_iterable(got), np.int32, int(new.sum()))))
+    store.flat = np.concatenate((store.flat, ids))
+    store.same = np.concatenate((store.same, same))
+    store.asked = np.concatenate((store.asked, np.zeros(len(words), np.int64))) + np.bincount(np.concatenate(at) if at else np.zeros(0, np.int64), minlength=len(store.number))
     sizes, flat = store.sizes, store.flat
     begin = np.cumsum(sizes) - sizes
     out = []
-    for words in at:
-        n = sizes[words]
+    for numbers in at:
+        n = sizes[numbers]
         ends = np.cumsum(n)
-        out.append(flat[np.repeat(begin[words] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
-    return out
+        out.append(flat[np.repeat(begin[numbers] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+    return out, [bool(store.same[numbers].all()) and SPACE not in t for numbers, t in zip(at, texts, strict=True)]
 
 
 def decode(m: PieceModel, ids: list[int] | np.ndarray) -> str:
@@ -515,8 +654,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         m = shared.value
         for b in batches:
             for at, texts in _gathered(b.column(1)):
-                got = encode_texts(m, texts, algorithm)
-                same = [decode(m, ids.tolist()) == t for ids, t in zip(got, texts, strict=True)]
+                got, same = encode_texts(m, texts, algorithm)
                 sizes = np.fromiter(map(len, got), np.int64, len(got))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(sizes), ids, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])

@@ -358,7 +358,7 @@ def test_pieces_match_the_library(model):
     rng = random.Random(4)
     texts = SAMPLES + ["".join(rng.choice("abcdeinorst ÉéA.,\n") for _ in range(rng.randint(1, 400))) for _ in range(200)]
     bpe = library(pieces.BPE)
-    for text, ids, merged in zip(texts, pieces.encode_texts(model, texts), pieces.encode_texts(model, texts, "merge"), strict=True):
+    for text, ids, merged in zip(texts, pieces.encode_texts(model, texts)[0], pieces.encode_texts(model, texts, "merge")[0], strict=True):
         assert ids.tolist() == bpe.encode(text) == merged.tolist(), text[:50]
         assert pieces.decode(model, ids.tolist()) == text == bpe.decode(ids.tolist())
 
@@ -380,15 +380,50 @@ def test_viterbi_is_the_best_path(model):
             assert "".join(model.pieces[i] for i in ids) == word
             assert math.isclose(sum(float(model.scores[i]) for i in ids), best(word))
     texts = ["Hello wörld the 日本 🎉\n x", "a  b"]
-    for text, ids in zip(texts, pieces.encode_texts(model, texts, "viterbi"), strict=True):
+    for text, ids in zip(texts, pieces.encode_texts(model, texts, "viterbi")[0], strict=True):
         assert pieces.decode(model, ids.tolist()) == text
 
 
-def test_long_words_merge_alike(model):
+def test_long_words_go_the_same_way(model):
+    """Words of any length are cut where no piece crosses and advance together; ids are the library's."""
     rng = random.Random(8)
-    for n in (2, 40, 200):
-        word = "▁" + "".join(rng.choice("etaoinshr") for _ in range(n))
-        assert pieces.merge_one(model, word) == pieces.encode_words(model, [word], "merge")[0]
+    bpe = library(pieces.BPE)
+    words = ["".join(rng.choice(a) for _ in range(n)) for n in (40, 300, 5000) for a in ("etaoinshr", "ABCdefGHI0123456789+/", "日本語文字列", "aab")] + ["x" * 20_001]
+    for word, ids in zip(words, pieces.encode_words(model, ["▁" + w for w in words], "merged_path"), strict=True):
+        assert ids == bpe.encode(word)
+        assert "".join(pieces.cut(model, word)) == word
+    codes = pieces._codes(["▁" + words[0]])
+    for scan, batch in ((pieces.scan(model, codes, True), pieces.merged_path(model, codes)), (pieces.scan(model, codes, False), pieces.viterbi(model, codes))):
+        assert pieces._walk(model, codes, *scan) == pieces._walk(model, codes, *batch)
+
+
+def test_held_words_shrink(model, monkeypatch):
+    monkeypatch.setattr(pieces, "HELD_WORDS", 40)
+    monkeypatch.setattr(pieces, "KEPT", 10)
+    rng = random.Random(12)
+    bpe, m = library(pieces.BPE), pieces.load()
+    for _ in range(6):
+        texts = [" ".join(rng.choice(["the", "and", "of"]) + "x" * rng.randrange(20) for _ in range(30)) + ", it's (3.5) a-b." for _ in range(5)]
+        assert [x.tolist() for x in pieces.encode_texts(m, texts)[0]] == [bpe.encode(t) for t in texts]
+        assert len(m._words["merged_path"].number) < 200
+
+
+def test_pairs_apart_by_merging(model):
+    """The table of merges tells of two pieces what merging their text tells."""
+    rng = random.Random(11)
+    whole = np.nonzero(model.whole[:-2])[0].tolist()
+    alone = pieces.encode_words(model, [model.pieces[i] for i in whole[:3000]], "merge")
+    assert alone == [[i] for i in whole[:3000]]
+    a, b = (np.array([rng.choice(whole) for _ in range(4000)]) for _ in range(2))
+    pairs = [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if not model.pieces[y].startswith("▁")]
+    want = [ids == [x, y] for ids, (x, y) in zip(pieces.encode_words(model, [model.pieces[x] + model.pieces[y] for x, y in pairs], "merge"), pairs, strict=True)]
+    assert model.apart(*(np.array(c) for c in zip(*pairs, strict=True))).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_round_trips_are_told(model):
+    texts = SAMPLES + ["a▁b", "line\n\nnext  two", "\x01 odd \x02", " x", "x ", "\n", "a\n b"]
+    for (ids, same), text in zip(zip(*pieces.encode_texts(model, texts), strict=True), texts, strict=True):
+        assert same == (pieces.decode(model, ids.tolist()) == text), text[:30]
 
 
 def test_pieces_edges(spark, model):
