@@ -169,6 +169,51 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_random_spans_precision_and_recall(spark):
+    """Planted keys of several encodings and lengths among ordinary long tokens."""
+    rng = random.Random(21)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["account", "Server", "latest", "value", "Upper", "handle", "content", "internal", "Service", "manager", "uploads", "request", "window", "network", "default", "session"]
+    rows, keys, ordinary = [], {}, {}
+    for i in range(400):
+        token, kind = None, i % 4
+        if kind == 0:
+            n = rng.choice([20, 24, 32, 40, 64])
+            token = "".join(rng.choice(rng.choice([b62, b62 + "+/"])) for _ in range(n))
+            keys[i] = token
+        elif kind == 1:
+            token = "".join(w.title() for w in rng.sample(words, 4)) + str(rng.randrange(100))
+        elif kind == 2:
+            token = rng.choice("-_/").join(rng.sample(words, 4))
+        if token and i not in keys:
+            ordinary[i] = token
+        text = " ".join(rng.choice(words) for _ in range(60))
+        rows.append((i, f"{text} {token or ''} {text}", "a"))
+    out = {r.doc_id: [s for s in r.spans if s.kind == 3] for r in secrets.scan(docs(spark, rows)).collect()}
+    text = {i: t for i, t, _ in rows}
+    found = {i for i, s in out.items() if s}
+    assert all(text[i][s.start : s.end] == keys[i] for i in found & set(keys) for s in out[i])
+    long = {i for i, k in keys.items() if len(k) >= 32}
+    assert len(found & set(keys)) >= 0.75 * len(keys) and len(found & long) >= 0.95 * len(long)
+    assert len(found - set(keys)) <= 0.03 * len(found)
+
+
+def test_many_spans_in_one_text(spark):
+    """Spans are told in time that grows with their number, and overlaps with them too."""
+    import time
+
+    rng = random.Random(22)
+    pieces_ = []
+    for _ in range(20_000):
+        pieces_.append("".join(rng.choice("0123456789abcdef") for _ in range(33)) + " x ")
+        pieces_.append("AnotherCamelCaseName" + str(rng.randrange(10**6)) + " ")
+    text = "".join(pieces_)
+    began = time.time()
+    (r,) = secrets.scan(docs(spark, [(1, text, "a")])).collect()
+    assert [f"{s.name}:{s.start}:{s.end}" for s in r.spans if s.kind < 3] == base_spans(text)
+    assert time.time() - began < 60
+
+
 # --- 4
 
 
