@@ -7,6 +7,8 @@ there. Budgets above a source's size take whole epochs first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,19 +51,22 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return chosen.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", ranges_digits: int = 3, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", range_rows: int = 4096, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies: a row for each row of docs (doc_id, text, source).
 
     size: words of the text (null: 0). taken: words the mix takes of the document, repeats counted; within a source
     they add up to the target less a fraction of a word, and the document at the cut gives part of its words.
     copies: whole documents to emit: full epochs, plus one if at least half of the document lies before the cut.
-    The order is by md5 of seed and doc_id, then doc_id and size, so reruns agree; rows that agree in all are alike.
+    The order is by md5 of seed, doc_id and the text's own md5, then doc_id and size, so reruns agree; rows that agree
+    in all are alike. Null and repeated ids are spread as any others. Ranges of keys grow in number with the documents.
     Columns of docs named in `carry` order rows further and come last, so that decisions find their rows.
     Sources of size 0 have target 0 and take nothing (copies 0 would lose empty texts: they are as many as epochs).
     """
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), *carry))
-    keyed = sized.withColumn("md5", key).withColumn("range", F.substring("md5", 1, ranges_digits))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    sized = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), key.alias("md5"), *carry))
+    # a source that holds all rows has `range_rows` or fewer of them in a range
+    digits = max(2, math.ceil(math.log(max(1, sized.count() / range_rows), 16)))
+    keyed = sized.withColumn("range", F.substring("md5", 1, digits))
     ranges = stored(keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     sources = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

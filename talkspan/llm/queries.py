@@ -100,7 +100,7 @@ from told group by doc_id"""
 _MIX = rf"""
 with sized as (
   select doc_id, source, {_WORDS} as size,
-         md5('mix:' || coalesce(cast(doc_id as varchar), 'null')) as key
+         md5('mix:' || coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))) as key
   from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from sized group by source),
 r as (select *, row_number() over (order by source nulls last) - 1 as rank from s),
