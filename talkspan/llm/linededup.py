@@ -1,9 +1,10 @@
 """Removal of lines that several documents share, decided on hashes alone.
 
 A document gives one row per distinct line key (128-bit hash, document, positions). The rows are range-partitioned by
-hash and document and sorted, so each hash's documents stream by in order and no hash is bound to one partition.
+hash, document and row and sorted, so each hash's documents stream by in order and no hash is bound to one partition.
 Runs that end inside a partition are decided there. Rows of a partition's first and last run, and of runs longer than
-HELD, stay open; their per-partition sums meet in a table of a few rows per partition, which decides them. The result
+HELD, stay open; their sums by piece meet in a table of a few rows per partition, which decides them (a document that
+ends one piece and begins the next counts once). The result
 is a compressed keep bitmap for each document that loses lines; texts are not moved until bitmaps are applied.
 """
 
@@ -16,7 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkspan.llm.common import map_arrow, stored
@@ -68,9 +70,9 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _stream(min_docs: int):
-    """From sorted rows: dropped rows, and open rows of runs that may go on in another partition."""
+    """From sorted rows: dropped rows, and open rows of runs that may go on in another partition, by piece."""
 
-    def tell(table: pa.Table, open_: bool) -> pa.Table:
+    def tell(table: pa.Table, open_: bool, piece: int = 0) -> pa.Table:
         h1, h2, doc = (table.column(i).to_numpy() for i in range(3))
         new_run = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
         first = new_run | np.concatenate(([True], doc[1:] != doc[:-1]))
@@ -81,11 +83,12 @@ def _stream(min_docs: int):
             keep = pa.array(drop)
             table, first = table.filter(keep), first[drop]
         table = table.append_column("first", pa.array(first.astype(np.int32)))
-        return table.append_column("open", pa.array(np.full(len(first), open_)))
+        return table.append_column("open", pa.array(np.full(len(first), open_))).append_column("piece", pa.array(np.full(len(first), piece)))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []  # rows of one run
         n_held, at_start, overflowing = 0, True, False
+        piece = TaskContext.get().partitionId() << 32
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -94,29 +97,29 @@ def _stream(min_docs: int):
             cut = (np.nonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[0] + 1).tolist()
             goes_on = bool(held) and held[-1].column(0)[-1].as_py() == h1[0] and held[-1].column(1)[-1].as_py() == h2[0]
             if held and not goes_on:
-                yield from tell(pa.concat_tables(held), at_start or overflowing).to_batches()
+                piece += 1
+                yield from tell(pa.concat_tables(held), at_start or overflowing, piece).to_batches()
                 held, n_held, at_start, overflowing = [], 0, False, False
             if not cut:
                 held.append(table)
                 n_held += table.num_rows
             else:
                 if held or at_start:
-                    yield from tell(pa.concat_tables([*held, table.slice(0, cut[0])]), at_start or overflowing).to_batches()
+                    piece += 1
+                    yield from tell(pa.concat_tables([*held, table.slice(0, cut[0])]), at_start or overflowing, piece).to_batches()
                     at_start, overflowing, begin = False, False, cut[0]
                 else:
                     begin = 0
                 if begin < cut[-1]:
                     yield from tell(table.slice(begin, cut[-1] - begin), False).to_batches()
                 held, n_held = [table.slice(cut[-1])], table.num_rows - cut[-1]
-            if n_held > HELD:  # all but the last document's rows go out open
+            if n_held > HELD:  # all but the last row go out open
+                piece += 1
                 whole = pa.concat_tables(held)
-                doc = whole.column(2).to_numpy()
-                split = int(np.searchsorted(doc, doc[-1]))
-                if split:
-                    yield from tell(whole.slice(0, split), True).to_batches()
-                    held, n_held, overflowing = [whole.slice(split)], len(doc) - split, True
+                yield from tell(whole.slice(0, n_held - 1), True, piece).to_batches()
+                held, n_held, overflowing = [whole.slice(n_held - 1)], 1, True
         if held:
-            yield from tell(pa.concat_tables(held), True).to_batches()
+            yield from tell(pa.concat_tables(held), True, piece + 1).to_batches()
 
     return go
 
@@ -130,12 +133,15 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     others (their doc_id is null in the result). keep: zlib of one bit a line, lowest bit first, 1 where it stays.
     """
     keys = stored(line_keys(docs.select("doc_id", "text"), min_chars))
-    dealt = keys.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
-    schema = "h1 long, h2 long, doc_id long, row_key long, n_lines int, at array<int>, first int, open boolean"
+    dealt = keys.repartitionByRange("h1", "h2", "doc_id", "row_key").sortWithinPartitions("h1", "h2", "doc_id", "row_key")
+    schema = "h1 long, h2 long, doc_id long, row_key long, n_lines int, at array<int>, first int, open boolean, piece long"
     told = stored(dealt.mapInArrow(_stream(min_docs), schema))
     pending = told.where("open")
-    # two runs a partition, and one for each HELD rows of a longer run: bounded by the number of partitions
-    sums = pending.groupBy("h1", "h2").agg(F.sum("first").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    # two pieces a partition, and one for each HELD rows of a longer run: bounded by the number of partitions
+    parts = pending.groupBy("h1", "h2", "piece").agg(F.sum("first").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("h1", "h2").orderBy("low", "last", "piece"))
+    parts = parts.withColumn("n", F.col("n") - F.coalesce((before == F.col("low")).cast("int"), F.lit(0)))
+    sums = parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where(F.col("n") >= min_docs)
     late = pending.join(F.broadcast(sums), ["h1", "h2"]).where("doc_id <> last")
     drops = told.where("not open").select("doc_id", "row_key", "n_lines", "at").union(late.select("doc_id", "row_key", "n_lines", "at"))
     packed = drops.groupBy("doc_id", "row_key").agg(F.max("n_lines").alias("n_lines"), F.flatten(F.collect_list("at")).alias("at"))

@@ -307,6 +307,9 @@ def test_mix(spark):
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) < 1 for s in sizes)
     assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix(d.repartition(3)).collect()))
+    odd = docs(spark, [(None, f"text {i} " * (i % 7), "a") for i in range(60)] + [(9, f"other {i} " * 3, "a") for i in range(60)])
+    parts = {s: (mixing.mix(odd, range_rows=s).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("x")).first()) for s in (1, 4096)}
+    assert parts[1] == parts[4096] and abs(parts[1].t - parts[1].x) < 1
     assert mixing.mix(docs(spark, [])).count() == 0
     assert all(r.taken == 0 for r in mixing.mix(docs(spark, [(1, None, None), (2, "", "a")])).collect())
 
@@ -530,7 +533,9 @@ def test_lines(spark, monkeypatch, held):
     rng = random.Random(6)
     pool = [f"  Shared line number {i} of the Pool \t" for i in range(12)] + ["short", "", "ÉCOLE maternelle supérieure", "exactly twenty chars"]
     rows = ODD + [(100 + i, "\n".join(rng.choice(pool).upper() if rng.random() < 0.3 else rng.choice(pool) for _ in range(rng.randint(1, 12))) + f"\nown line of document {i}", "a") for i in range(60)]
-    rows += [(None, "  Shared line number 3 of the Pool", "b"), (150, "another text with the same id here\n" + pool[2], "b"), rows[-1]]
+    rows += [(None, "  Shared line number 3 of the Pool", "b")]
+    rows += [(None, f"one of many rows without an id {i}\n{pool[i % 3]}", "b") for i in range(40)] + [(120, f"a row {i} of one id\n{pool[4]}\n{pool[5]}", "b") for i in range(30)]
+    rows += [(None, "a line that only rows without an id have " + "\n" + str(i), "b") for i in range(20)] + [(150, "another text with the same id here\n" + pool[2], "b"), rows[-1]]
     d = docs(spark, rows)
     marks = linededup.keep_bitmaps(d)
     out = linededup.kept_digests(d, marks).collect()
