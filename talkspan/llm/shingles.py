@@ -1,6 +1,8 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands retrieve pairs, the shingle sets decide.
+"""Near copies by Jaccard similarity of word shingles: fingerprints and MinHash bands retrieve pairs, the sets decide.
 
-Equal texts are one class. Classes that share a band of their signature meet in a bucket; a pair at the least similarity
+The SimHash operator's bit-sliced comparison links texts whose fingerprints (here of five-word shingles) differ in a few
+bits. Those are the closest copies only: at a similarity of 0.8 about ten of 64 bits differ, and a radius that reaches
+them is beyond any table of blocks. So bands retrieve the rest. Equal texts are one class. Classes that share a band of their signature meet in a bucket; a pair at the least similarity
 0.8 shares none of BANDS bands of ROWS minima with probability (1 - 0.8^ROWS)^BANDS, 2 in 10^4, and closer pairs far more
 rarely. First each class of a bucket is held against the bucket's smallest, so a dense bucket costs one pair a class;
 then pairs of a bucket whose classes are still in different components are held against each other, unless their
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkspan.llm.common import components, map_arrow, stored
+from talkspan.llm.simhash import links as fingerprint_links
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -56,25 +59,36 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed integer."""
+    held = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        held += np.unpackbits(hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * held > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """doc_id, key, bands array<long>, sig (low 16 bits of the minima): a row for each row of texts (doc_id, key, text)."""
+    """doc_id, key, fp, bands array<long>, sig (low 16 bits of the minima): a row for each row of texts (doc_id, key,
+    text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bands, sigs = [], []
+        bands, sigs, fps = [], [], []
         for t in batch.column(2).to_pylist():
-            s = signature(shingle_set(t))
+            hashes = shingle_set(t)
+            fps.append(fingerprint(hashes))
+            s = signature(hashes)
             bands.append([xxhash.xxh64_intdigest(s[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)])
             sigs.append(s.astype("<u2").tobytes())
         flat = np.array(bands, np.uint64).reshape(-1).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(sigs, pa.binary())], ["doc_id", "key", "bands", "sig"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), lists, pa.array(sigs, pa.binary())], ["doc_id", "key", "fp", "bands", "sig"])
 
-    return map_arrow(texts, run, "doc_id long, key long, bands array<long>, sig binary")
+    return map_arrow(texts, run, "doc_id long, key long, fp long, bands array<long>, sig binary")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -130,7 +144,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(held)
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST, tile: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = LEAST, radius: int = 4, tile: int = 2048) -> DataFrame:
     """key long (row_key of a text), root long: the smallest key reachable by links of similarity `least` or more.
 
     A row for each distinct text of docs (doc_id, text) and, as `doc_id`, the smallest id that has it (null if none).
@@ -138,15 +152,21 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, tile: int = 2048) ->
     """
     texts = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), "text")
     signed = stored(_signatures(texts))
-    classes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     met = classes.select("key", F.posexplode("bands").alias("band", "value"))
     sizes = met.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("key").alias("center"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64("key", F.lit(3)), 20)).alias("y")).where("n > 1")
     # bands often meet in the same classes: one bucket of each such set is enough
     buckets = stored(sizes.groupBy("n", "center", "x", "y").agg(F.min(F.struct("band", "value")).alias("m")).select("m.band", "m.value", "n", "center"))
     members = stored(met.join(buckets, ["band", "value"]))
-    wanted = members.select("key").distinct()
+    star = members.where("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b"))
+    prints = stored(classes.groupBy("fp").agg(F.min("key").alias("first")))
+    alike = classes.join(prints, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    close = fingerprint_links(prints.select("fp"), radius, tile)
+    of = lambda side: prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_key"))
+    close = close.join(of("a"), "a").join(of("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    star = stored(star.union(alike).union(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = members.select("key").union(star.select("a")).union(star.select("b")).distinct()
     sets = stored(_sets(texts.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])))
-    star = members.where("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct()
     links = stored(_verified(star, sets, least))
     roots = stored(components(links))
     rooted = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
