@@ -5,8 +5,9 @@ bits. Those are the closest copies only: at a similarity of 0.8 about ten of 64
 them is beyond any table of blocks. So bands retrieve the rest. Equal texts are one class. Classes that share a band of their signature meet in a bucket; a pair at the least similarity
 0.8 shares none of BANDS bands of ROWS minima with probability (1 - 0.8^ROWS)^BANDS, 2 in 10^4, and closer pairs far more
 rarely. First each class of a bucket is held against the bucket's smallest, so a dense bucket costs one pair a class;
-then pairs of a bucket whose classes are still in different components are held against each other, unless their
-signatures rule the similarity out. Every link is a pair of sets compared whole.
+then the sets of buckets whose classes are still in different components come together, a tile or two a task, and are
+compared there unless their signatures rule the similarity out or the task has linked them already. Tasks give a forest
+of links, never pairs. Every link is a pair of sets compared whole.
 """
 
 from __future__ import annotations
@@ -110,41 +111,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows (band, value, i, j, own, key, root, sig) sorted by the first four; pairs of a group in different
-    components that may be similar enough. A group of two tiles leaves pairs within a tile to that tile's own group."""
+def _tile_links(least: float):
+    """Streams rows (band, value, i, j, own, key, root, sig, s) sorted by the first four; links that join components of a
+    group. A group of two tiles leaves pairs within a tile to that tile's own group."""
 
     def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
         own, key, root = (t.column(c).to_numpy() for c in ("own", "key", "root"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
         two = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        every, column = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(sizes) - sizes
+        label = np.unique(root, return_inverse=True)[1]
+        mark = np.zeros(len(every), np.int64)
+        a, b = [], []
         for x in range(len(key) - 1):
-            rest = slice(x + 1, None)
-            ok = root[rest] != root[x]
+            ok = label[x + 1 :] != label[x]
             if two:
-                ok &= own[rest] != own[x]
+                ok &= own[x + 1 :] != own[x]
             at = np.nonzero(ok)[0] + x + 1
             at = at[(sig[at] == sig[x]).sum(1) >= AGREE]
-            if len(at):
-                other = np.full(len(at), key[x])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, key[at])), pa.array(np.maximum(other, key[at]))], ["a", "b"])
-
-    held = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        if not held.num_rows:
-            continue
-        k = np.stack([held.column(c).to_numpy() for c in ("band", "value", "i", "j")], 1)
-        cut = np.concatenate(([0], np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1))
-        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            yield from settle(held.slice(s, e - s))
-        held = held.slice(int(cut[-1]))
-    if held is not None and held.num_rows:
-        yield from settle(held)
-
-
-def near_duplicates(docs: DataFrame, least: float = LEAST, radius: int = 4, tile: int = 2048) -> DataFrame:
+            if not len(at):
+                continue
+            mark[column[begin[x] : begin[x] + sizes[x]]] = 1
+            both = np.array([mark[column[begin[y] : begin[y] + sizes[y]]].sum() for y in at.tolist()])
+            mark[column[begin[x] : begin[x] + sizes[x]]] = 0
+            for y in at[both >= least * (sizes[at] + sizes[x] - both)].tolist():
+                if label[y] != label[x]:
+                    a.append(key[x])
+                    b.append(key[y])
+                    label[label == label[y]] = label[x]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            if not held.num_rows:
+                continue
+            k = np.stack([held.column(c).to_numpy() for c in ("band", "value", "i", "j")], 1)
+            cut = np.concatenate(([0], np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1))
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield from settle(held.slice(s, e - s))
+            held = held.slice(int(cut[-1]))
+        if held is not None and held.num_rows:
+            yield from settle(held)
+
+    return go
+
+
+def near_duplicates(docs: DataFrame, least: float = LEAST, radius: int = 4, tile: int = 1024) -> DataFrame:
     """key long (row_key of a text), root long: the smallest key reachable by links of similarity `least` or more.
 
     A row for each distinct text of docs (doc_id, text) and, as `doc_id`, the smallest id that has it (null if none).
@@ -175,12 +194,12 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, radius: int = 4, tile
     dealt = (
         rooted.join(unsettled, ["band", "value"])
         .join(classes.select("key", "sig"), "key")
+        .join(sets, "key")
         .withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), tiles))
         .withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        .select("band", "value", F.least("own", "u").alias("i"), F.greatest("own", "u").alias("j"), "own", "key", "root", "sig")
+        .select("band", "value", F.least("own", "u").alias("i"), F.greatest("own", "u").alias("j"), "own", "key", "root", "sig", "s")
     )
     parts = dealt.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
-    pairs = parts.mapInArrow(_open_pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(_verified(pairs, sets, least))
+    more = stored(parts.mapInArrow(_tile_links(least), "a long, b long"))
     found = components(links.union(more)).select(F.col("node").alias("key"), "root")
     return classes.select("key", "doc_id").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))

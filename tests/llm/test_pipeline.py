@@ -122,7 +122,7 @@ def test_components_by_brute_force(spark):
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
     want = brute_roots(texts)
     d = docs(spark, [(i, t, "a") for i, t in enumerate(texts)])
-    for tile in (2048, 4):
+    for tile in (1024, 4):
         out = shingles.near_duplicates(d, tile=tile).collect()
         key = {r.doc_id: r.key for r in d.select("doc_id", shingles.row_key().alias("key")).collect()}
         root = {r.key: r.root for r in out}
