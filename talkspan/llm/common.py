@@ -63,9 +63,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of `edges` (a long, b long): node, root (the smallest node reachable).
 
     Large-star and small-star steps alternate until the edges no longer change. Each step is a `min` per node,
-    which partial aggregation shrinks before the shuffle, and a join that adaptive execution may split, so a hub
-    with a third of all edges is no hot task. Each round is stored. Loops, repeated edges and nulls are dropped;
-    no edges give no rows.
+    which partial aggregation shrinks before the shuffle, and a join of two stored tables: adaptive execution splits
+    a skewed join only if both sides come straight from a shuffle, not from an aggregate above it. So a hub with a
+    third of all edges is no hot task. Loops, repeated edges and nulls are dropped; no edges give no rows.
     """
     now = stored(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -75,13 +75,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = _digest(now)
     for _ in range(most_rounds):
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(now.groupBy("a").agg(F.min("b").alias("b"))).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.union(now.groupBy("a").agg(F.min("b").alias("b"))).where("a <> b").distinct())
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         then = stored(small.union(low.toDF("a", "b")).distinct())
-        dropped(now)
+        for table in (now, least, large, low):
+            dropped(table)
         now, before, state = then, state, _digest(then)
         if state == before:
             break
