@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, radius: int = 4, tile
     close = close.join(of("a"), "a").join(of("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
     star = stored(star.union(alike).union(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = members.select("key").union(star.select("a")).union(star.select("b")).distinct()
-    sets = stored(_sets(texts.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])))
+    # copies shrink to one a map task before they meet; `min`, unlike `first`, lets filters on the key through
+    sets = stored(_sets(texts.groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key", "left_semi")))
     links = stored(_verified(star, sets, least))
     roots = stored(components(links))
     rooted = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
