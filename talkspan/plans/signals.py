@@ -17,26 +17,32 @@ from talkspan.plans.fixtures import sql
 from talkspan.plans.registry import query
 from talkspan.streaming import frames as streams
 
-RATE = 16_000
+RATE, LENGTH = 16_000, 4_000
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, samples: a second of three tones an item, one item per customer nation and segment."""
-    items = fx.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("item_id")).distinct()
-    tone = lambda i, f, a: a * F.sin(i * (2 * np.pi * f / RATE))
-    x = F.transform(F.sequence(F.lit(0), F.lit(RATE - 1)), lambda i: tone(i, 233.0, 0.07) + tone(i, 701.0, 0.03) + tone(i, 1234.5, 0.01))
-    scaled = F.transform("x", lambda v: v * (1 + F.col("item_id") % 7))
-    return items.withColumn("x", x).select("item_id", scaled.alias("samples"))
+    """item_id, samples: a quarter of a second of three tones, one item per customer, whose key shifts and scales them."""
+    key = F.col("c_custkey").cast("long")
+    items = fx.table(spark, sf_dir, "customer").select(key.alias("item_id"), (key % 7 + 1).cast("double").alias("gain"), (key % 50).cast("double").alias("up"))
+    tone = lambda i, f, a: a * F.sin(i * (2 * np.pi * (F.col("up") + f) / RATE))
+    x = F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: F.col("gain") * (tone(i, 233.0, 0.07) + tone(i, 701.0, 0.03) + tone(i, 1234.5, 0.01)))
+    return items.select("item_id", x.alias("samples"))
 
 
-@query("""
-select item_id, count(*) as n, round(sum(x), 5) + 0.0e0 as total, round(max(abs(x)), 6) as peak, round(sqrt(sum(x * x) / count(*)), 6) as rms
-from (select item_id, (1 + item_id % 7) * (0.07e0 * sin(i * (2 * pi() * 233 / 16000)) + 0.03e0 * sin(i * (2 * pi() * 701 / 16000)) + 0.01e0 * sin(i * (2 * pi() * 1234.5e0 / 16000))) as x
-  from (select distinct cast(c_nationkey as bigint) as item_id from customer), (select unnest(range(16000)) as i)) group by item_id""")
+#: The samples of signals(), a row each, for DuckDB.
+_SAMPLES = f"""select item_id, i, (item_id % 7 + 1) * (0.07e0 * sin(i * (2 * pi() * (item_id % 50 + 233.0e0) / {RATE})) + 0.03e0 * sin(i * (2 * pi() * (item_id % 50 + 701.0e0) / {RATE}))
+    + 0.01e0 * sin(i * (2 * pi() * (item_id % 50 + 1234.5e0) / {RATE}))) as x from (select cast(c_custkey as bigint) as item_id from customer), (select unnest(range({LENGTH})) as i)"""
+
+
+@query(f"select item_id, count(*) as n, round(sum(x), 5) + 0.0e0 as total, round(max(abs(x)), 6) as peak, round(sqrt(sum(x * x) / count(*)), 6) as rms from ({_SAMPLES}) group by item_id")
 def signal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signals(spark, sf_dir).select("item_id", F.explode("samples").alias("x"))
-    x = F.col("x")
-    return s.groupBy("item_id").agg(F.count("*").alias("n"), (F.round(F.sum(x), 5) + 0.0).alias("total"), F.round(F.max(F.abs(x)), 6).alias("peak"), F.round(F.sqrt(F.sum(x * x) / F.count("*")), 6).alias("rms"))
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    s, n = signals(spark, sf_dir), F.size("samples")
+    squares = add(F.transform("samples", lambda x: x * x))
+    return s.select(
+        "item_id", n.cast("long").alias("n"), (F.round(add("samples"), 5) + 0.0).alias("total"), F.round(F.array_max(F.transform("samples", lambda x: F.abs(x))), 6).alias("peak"),
+        F.round(F.sqrt(squares / n), 6).alias("rms"),
+    )
 
 
 @query()
@@ -63,7 +69,7 @@ def preset_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("select distinct cast(c_nationkey as bigint) as item_id, true as same from customer")  # what an inverse must give
+@query("select cast(c_custkey as bigint) as item_id, true as same from customer")  # what an inverse must give
 def stft_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra and back: the greatest difference."""
 
@@ -76,14 +82,13 @@ def stft_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.features(signals(spark, sf_dir), kernel).select("item_id", (F.col("mel")[0] < 1e-6).alias("same"))
 
 
-@query("""
-select item_id, f as frame_no, list_sum(list_transform(range(1, 31), lambda i: round(x[f * 30 + i], 6))) > 0 as positive from
- (select item_id, list((1 + item_id % 7) * (0.07e0 * sin(i * (2 * pi() * 233 / 16000)) + 0.03e0 * sin(i * (2 * pi() * 701 / 16000)) + 0.01e0 * sin(i * (2 * pi() * 1234.5e0 / 16000))) order by i) as x
-  from (select distinct cast(c_nationkey as bigint) as item_id from customer), (select unnest(range(16000)) as i) group by item_id), (select unnest(range(533)) as f)""")
+@query(f"""
+select item_id, i // 30 as frame_no, sum(round(x, 6)) > 5e-7 as positive from ({_SAMPLES}) where i < {LENGTH // 30 * 30} group by all""")
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signals(spark, sf_dir).select("item_id", "samples", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(532).cast("long"))).alias("frame_no"))
+    s = signals(spark, sf_dir).select("item_id", "samples", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LENGTH // 30 - 1).cast("long"))).alias("frame_no"))
     part = F.slice("samples", (F.col("frame_no") * 30 + 1).cast("int"), 30)
-    return s.select("item_id", "frame_no", (F.aggregate(F.transform(part, lambda v: F.round(v, 6)), F.lit(0.0), lambda a, v: a + v) > 0).alias("positive"))
+    total = F.aggregate(F.transform(part, lambda v: F.round(v, 6)), F.lit(0.0), lambda a, v: a + v)  # a multiple of a millionth
+    return s.select("item_id", "frame_no", (total > 5e-7).alias("positive"))
 
 
 @query(sql("""
@@ -154,15 +159,20 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-@query()
+@query(f"""
+select cast(c_custkey as bigint) as item_id, f as frame_no, f * 160 - 120 as first_sample, 400 as n, f = {(LENGTH + 80) // 160 - 1} as last
+from customer, (select unnest(range({(LENGTH + 80) // 160})) as f)""")
 def online_frames_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals sent in pieces of 1000 samples over several batches: the frames that come out."""
+    """Signals sent in pieces of 1000 samples over several batches: the frames that come out. Later pieces are in later
+    files, so a batch may end anywhere between them."""
     folder = _folder(spark)
-    s = signals(spark, sf_dir).select("item_id", "samples", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("seq"))
-    rows = s.select("item_id", "seq", F.slice("samples", (F.col("seq") * 1000 + 1).cast("int"), 1000).alias("samples"), (F.col("seq") == 15).alias("end"))
-    for n in range(4):
-        rows.where(f"seq div 4 = {n}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    pieces = LENGTH // 1000
+    s = signals(spark, sf_dir).select("item_id", "samples", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).alias("seq"))
+    rows = s.select("item_id", "seq", F.slice("samples", (F.col("seq") * 1000 + 1).cast("int"), 1000).alias("samples"), (F.col("seq") == pieces - 1).alias("end"))
+    for n in range(pieces):
+        rows.where(F.col("seq") == n).write.mode("append").parquet(f"{folder}/in")
+    files = max(1, len(spark.read.parquet(f"{folder}/in").inputFiles()) // pieces)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     out = streams.drained(streams.online_frames(stream, signal.FrameOptions(snip_edges=False)), folder)
     return out.select("item_id", "frame_no", "first_sample", F.size("frame").alias("n"), "last")
 
