@@ -6,12 +6,15 @@ What SQL can say stays in the JVM. Clusterings whose steps depend on one another
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkspan.functions import arrays
+from talkspan.operators import signal
 
 
 def centroids(rows: DataFrame, keys: list[str], vector: str = "vector", weight: str | None = None) -> DataFrame:
@@ -181,6 +184,11 @@ def assign(scores: np.ndarray) -> np.ndarray:
     from itertools import permutations
 
     s, k = scores.shape
+    if s == 3 and k >= 3:
+        total = scores[0][:, None, None] + scores[1][None, :, None] + scores[2][None, None, :]
+        a, b, c = np.indices(total.shape, sparse=True)
+        total = np.where((a == b) | (a == c) | (b == c), -np.inf, total)
+        return np.array(np.unravel_index(np.argmax(total), total.shape))
     best, pick = -np.inf, np.full(s, -1)
     rows = range(min(s, k))
     for speakers in permutations(range(s), len(rows)) if k < s else [tuple(range(s))]:
@@ -192,6 +200,70 @@ def assign(scores: np.ndarray) -> np.ndarray:
     return pick
 
 
+@dataclass(frozen=True)
+class Projection:
+    """Fixed parameters of the space that variational clustering works in: an x-vector transform, then a basis of unit
+    within-class variance and its between-class variances."""
+
+    mean1: np.ndarray
+    lda: np.ndarray
+    mean2: np.ndarray
+    mu: np.ndarray
+    basis: np.ndarray
+    phi: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (signal.xvector(x, self.mean1, self.lda, self.mean2) - self.mu) @ self.basis.T
+
+
+def chunk_labels(x: np.ndarray, alone: np.ndarray, active: np.ndarray, project: Projection, within: float = 0.6, least: float = 0.2) -> np.ndarray:
+    """Clusters of local speakers: x is chunks x speakers x dim, `alone` the share of frames in which a speaker is the
+    only one, `active` whether it speaks at all. -2 for those that do not and those left without a cluster.
+
+    Vectors that are finite and alone for `least` of the frames train: agglomerative labels begin, posteriors in the
+    projected space decide, clusters with a prior above 1e-7 have centroids by posterior, and each chunk's speakers go
+    to distinct ones. With fewer than two such vectors every speaker keeps its number in the chunk.
+    """
+    chunks, speakers, dim = x.shape
+    finite = np.isfinite(x).all(2)
+    train = x[finite & (alone >= least)]
+    if len(train) < 2:
+        return np.where(active, np.arange(speakers)[None, :], -2)
+    gamma, pi = vbx(project(train), project.phi, agglomerate(train / np.sqrt(np.maximum((train * train).sum(1, keepdims=True), 1e-20)), within))
+    gamma = gamma[:, pi > 1e-7] if (pi > 1e-7).any() else gamma[:, :1]
+    c = (gamma.T @ train) / np.maximum(gamma.sum(0), 1e-8)[:, None]
+    flat = np.where(finite[:, :, None], x, 0).reshape(-1, dim)
+    length = lambda v: np.sqrt((v * v).sum(1))
+    scores = (1 + flat @ c.T / (length(flat)[:, None] * length(c)[None, :] + 1e-10)).reshape(chunks, speakers, -1)
+    out = np.full((chunks, speakers), -2)
+    for n in range(chunks):
+        idle = ~(active[n] & finite[n])
+        scores[n, idle] = scores[n].min() - 1
+        found = assign(scores[n])
+        out[n] = np.where(active[n] & (found >= 0), found, -2)
+    return out
+
+
+def chunk_speakers(rows: DataFrame, key: str, project: Projection, speakers: int = 3) -> DataFrame:
+    """key, chunk, speaker, label: rows (key, chunk, speaker 0.., vector, alone double, active boolean) of an item
+    clustered by chunk_labels(); a speaker without a row is one that does not speak."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["chunk", "speaker"])
+        _, at = np.unique(pdf["chunk"], return_inverse=True)
+        n, who = int(at.max()) + 1, pdf["speaker"].to_numpy()
+        x = np.full((n, speakers, project.lda.shape[0]), np.nan)
+        alone, active = np.zeros((n, speakers)), np.zeros((n, speakers), bool)
+        some = pdf["vector"].map(lambda v: v is not None and len(v) == x.shape[2]).to_numpy(bool)
+        if some.any():
+            x[at[some], who[some]] = np.stack(pdf["vector"][some].to_numpy())
+        alone[at, who], active[at, who] = pdf["alone"].to_numpy(), pdf["active"].to_numpy(bool)
+        return pd.DataFrame({key: pdf[key], "chunk": pdf["chunk"], "speaker": who, "label": chunk_labels(x, alone, active, project)[at, who].astype("int32")})
+
+    kinds = dict(rows.dtypes)
+    return rows.select(key, "chunk", "speaker", "vector", "alone", "active").groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, chunk {kinds['chunk']}, speaker {kinds['speaker']}, label int")
+
+
 def clustered(rows: DataFrame, key: str, no: str, method: str) -> DataFrame:
     """key, no, label: vectors of each item clustered by "spectral", "recording" (spectral, then small clusters to
     their neighbours, close ones joined, and labels by size), "agglomerative", "kmeans" (k = 4) or "vbx"."""

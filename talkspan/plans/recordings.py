@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkspan.functions import arrays
-from talkspan.operators import edits, sequences, vectors
+from talkspan.operators import edits, sequences, signal, vectors
 from talkspan.plans import fixtures as fx
 from talkspan.plans.fixtures import sql
 from talkspan.plans.intervals import _SEGMENTS, transcript
@@ -109,6 +110,23 @@ def vbx_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.clustered(fx.windows(spark, sf_dir), "item_id", "win_no", "vbx")
 
 
+def projection(dim: int = 64, out: int = 32) -> vectors.Projection:
+    """A fixed stand-in for trained parameters."""
+    rng = np.random.RandomState(0)
+    lda = np.linalg.qr(rng.normal(size=(dim, out)))[0]
+    basis, phi = signal.plda_basis(np.linalg.qr(rng.normal(size=(out, out)))[0] * 2, np.linspace(0.5, 4, out))
+    return vectors.Projection(np.zeros(dim), lda, np.zeros(out), np.zeros(out), basis, phi)
+
+
+@query()
+def chunk_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three windows of an item as the local speakers of a chunk, clustered and assigned: some are silent, some speak
+    too little alone to train."""
+    n = F.col("win_no")
+    w = fx.windows(spark, sf_dir).select("item_id", F.floor(n / 3).alias("chunk"), (n % 3).cast("int").alias("speaker"), "vector", ((n * 7) % 10 / 10).alias("alone"), (n % 8 != 7).alias("active"))
+    return vectors.chunk_speakers(w, "item_id", projection())
+
+
 def _joined(source: str, name: str, gap: int) -> str:
     """CTEs that join a speaker's turns of `source` up to `gap` apart, as `name`."""
     return f"""

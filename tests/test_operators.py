@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import math
 import random
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from talkspan.functions import arrays, mathx, text, udfs
 from talkspan.operators import catalog, edits, joins, merge, scoring, segment, sequences, signal, tokens, vectors
+from talkspan.plans import recordings
 from talkspan.settings import Settings
 from talkspan.sources import audio, files
 from talkspan.streaming import frames as streams
@@ -228,6 +230,92 @@ def test_clustering():
     assert vectors.assign(np.array([[0.1, 0.9, 0.5]])).tolist() == [1]
 
 
+def plain_chunk_labels(x, alone, active, p):
+    """The clustering of local speakers, step by step in plain Python."""
+    dot = lambda a, b: sum(i * j for i, j in zip(a, b, strict=True))
+    unit = lambda a: [i / math.sqrt(max(dot(a, a), 1e-20)) for i in a]
+    good = lambda a: all(map(math.isfinite, a))
+    train = [v for vs, al in zip(x, alone, strict=True) for v, w in zip(vs, al, strict=True) if w >= 0.2 and good(v)]
+    if len(train) < 2:
+        return [[s if on else -2 for s, on in enumerate(row)] for row in active]
+    groups = [(unit(v), [i]) for i, v in enumerate(train)]
+    label = list(range(len(train)))
+    while len(groups) > 1:
+        far, a, b = min((math.dist(groups[a][0], groups[b][0]), a, b) for a in range(len(groups)) for b in range(a + 1, len(groups)))
+        (ca, ma), (cb, mb) = groups[a], groups[b]
+        if far <= 0.6:
+            joined = {label[i] for i in ma + mb}
+            label = [min(joined) if n in joined else n for n in label]
+        middle = [(i * len(ma) + j * len(mb)) / (len(ma) + len(mb)) for i, j in zip(ca, cb, strict=True)]
+        groups = [g for n, g in enumerate(groups) if n not in (a, b)] + [(middle, ma + mb)]
+    seen = list(dict.fromkeys(label))
+    label = [seen.index(n) for n in label]
+    y = []
+    for v in train:
+        u = [math.sqrt(len(v)) * i for i in unit([i - m for i, m in zip(v, p.mean1, strict=True)])]
+        u = [dot(u, p.lda[:, j]) - p.mean2[j] for j in range(p.lda.shape[1])]
+        u = [math.sqrt(len(u)) * i - m for i, m in zip(unit(u), p.mu, strict=True)]
+        y.append([dot(u, row) for row in p.basis])
+    k, dim, fa, fb = len(seen), len(y[0]), 0.07, 0.8
+    gamma = [[math.exp(7.0 * (c == n)) / (k - 1 + math.exp(7.0)) for c in range(k)] for n in label]
+    pi, before = [1 / k] * k, -math.inf
+    for _ in range(20):
+        inv = [[1 / (1 + fa / fb * sum(g[c] for g in gamma) * p.phi[d]) for d in range(dim)] for c in range(k)]
+        alpha = [[fa / fb * inv[c][d] * sum(g[c] * v[d] * math.sqrt(p.phi[d]) for g, v in zip(gamma, y, strict=True)) for d in range(dim)] for c in range(k)]
+        total, bound = [], 0.0
+        for v in y:
+            ll = [fa * (sum(v[d] * math.sqrt(p.phi[d]) * alpha[c][d] - 0.5 * p.phi[d] * (inv[c][d] + alpha[c][d] ** 2) for d in range(dim)) - 0.5 * (dot(v, v) + dim * math.log(2 * math.pi))) + math.log(pi[c] + 1e-8) for c in range(k)]
+            top = max(ll)
+            all_ = top + math.log(sum(math.exp(i - top) for i in ll))
+            bound += all_
+            total.append([math.exp(i - all_) for i in ll])
+        gamma = total
+        pi = [sum(g[c] for g in gamma) / len(gamma) for c in range(k)]
+        bound += fb * 0.5 * sum(math.log(inv[c][d]) - inv[c][d] - alpha[c][d] ** 2 + 1 for c in range(k) for d in range(dim))
+        if bound - before < 1e-4:
+            break
+        before = bound
+    live = [c for c in range(k) if pi[c] > 1e-7] or [0]
+    centre = [[sum(g[c] * v[d] for g, v in zip(gamma, train, strict=True)) / max(1e-8, sum(g[c] for g in gamma)) for d in range(len(train[0]))] for c in live]
+    out = []
+    for vs, on in zip(x, active, strict=True):
+        like = [[1 + dot(v, c) / (math.sqrt(dot(v, v)) * math.sqrt(dot(c, c)) + 1e-10) if good(v) else 1.0 for c in centre] for v in vs]
+        low = min(map(min, like)) - 1
+        like = [row if o and good(v) else [low] * len(centre) for row, o, v in zip(like, on, vs, strict=True)]
+        options = [c for c in itertools.product([*range(len(centre)), None], repeat=3) if len(taken := [i for i in c if i is not None]) == len(set(taken)) == min(3, len(centre))]
+        best = max(options, key=lambda c: sum(like[s][i] for s, i in enumerate(c) if i is not None))
+        out.append([-2 if not o or c is None else c for c, o in zip(best, on, strict=True)])
+    return out
+
+
+@pytest.mark.parametrize(("voices", "seed"), [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)])
+def test_chunk_labels_by_the_rules(voices, seed):
+    rng = np.random.default_rng(seed)
+    p = recordings.projection(12, 8)
+    base = np.linalg.qr(rng.normal(size=(12, 12)))[0][:voices]
+    who = np.array([rng.permutation(np.arange(max(3, voices)))[:3] for _ in range(8)])
+    x = base[who % voices] + 0.08 * rng.normal(size=(8, 3, 12))
+    x[1, 2], x[4, 0, 3] = np.nan, np.inf
+    alone, active = rng.random((8, 3)), rng.random((8, 3)) < 0.85
+    got = vectors.chunk_labels(x, alone, active, p)
+    assert got.tolist() == plain_chunk_labels(x.tolist(), alone.tolist(), active.tolist(), p)
+    few = vectors.chunk_labels(x, np.zeros((8, 3)), active, p)
+    assert few.tolist() == plain_chunk_labels(x.tolist(), np.zeros((8, 3)).tolist(), active.tolist(), p)
+
+
+def test_chunk_speakers(spark):
+    """Missing speakers and vectors; rows of an item in any order."""
+    p = recordings.projection(6, 4)
+    v = np.linalg.qr(np.random.default_rng(0).normal(size=(6, 6)))[0]
+    rows = [(1, c, s, (v[s] + 0.01 * c).tolist(), 0.5, True) for c in range(6) for s in range(3) if (c, s) != (2, 1)] + [(2, 0, 0, None, 0.9, True), (2, 3, 2, v[0].tolist(), 0.9, False)]
+    random.Random(0).shuffle(rows)
+    d = spark.createDataFrame(rows, "item_id long, chunk long, speaker int, vector array<double>, alone double, active boolean")
+    got = {(r.item_id, r.chunk, r.speaker): r.label for r in vectors.chunk_speakers(d, "item_id", p).collect()}
+    assert len(got) == len(rows) and got[2, 0, 0] == 0 and got[2, 3, 2] == -2
+    assert all(len({got[1, c, s] for c in range(6) if (c, s) != (2, 1)}) == 1 for s in range(3)) and len({got[1, 0, s] for s in range(3)}) == 3
+    assert vectors.chunk_speakers(d.limit(0), "item_id", p).count() == 0
+
+
 def test_feature_options():
     o = signal.FbankOptions()
     assert o.frame_opts.length == 400 and o.frame_opts.shift == 160 and o.frame_opts.padded == 512
