@@ -305,8 +305,8 @@ def test_chunk_labels_by_the_rules(voices, seed):
 
 def test_chunk_speakers(spark):
     """Missing speakers and vectors; rows of an item in any order."""
-    p = recordings.projection(6, 4)
-    v = np.linalg.qr(np.random.default_rng(0).normal(size=(6, 6)))[0]
+    p = recordings.projection()
+    v = np.linalg.qr(np.random.default_rng(0).normal(size=(64, 64)))[0]
     rows = [(1, c, s, (v[s] + 0.01 * c).tolist(), 0.5, True) for c in range(6) for s in range(3) if (c, s) != (2, 1)] + [(2, 0, 0, None, 0.9, True), (2, 3, 2, v[0].tolist(), 0.9, False)]
     random.Random(0).shuffle(rows)
     d = spark.createDataFrame(rows, "item_id long, chunk long, speaker int, vector array<double>, alone double, active boolean")
