@@ -66,6 +66,8 @@ class MelOptions(_Options):
     htk_mode: bool = False
     is_librosa: bool = False
     norm: str = "slaney"
+    use_slaney_mel_scale: bool = True
+    floor_to_int_bin: bool = False
 
 
 @dataclass
@@ -202,15 +204,21 @@ def mel_bank(o: MelOptions, rate: float, padded: int, warp: Callable | None = No
 
 
 def slaney_bank(o: MelOptions, rate: float, padded: int) -> np.ndarray:
-    """Triangles over frequency between corners on the Slaney scale, by area if norm is "slaney"; all padded / 2 + 1
-    bins of the spectrum."""
+    """Triangles over frequency between corners on the Slaney scale (or the other one), by area if norm is "slaney";
+    all padded / 2 + 1 bins of the spectrum. floor_to_int_bin moves corners down to whole bins and counts in bins."""
     top = o.high_freq if o.high_freq > 0 else rate / 2 + o.high_freq
-    corners = hz_slaney(np.linspace(mel_slaney(o.low_freq), mel_slaney(top), o.num_bins + 2))
+    if o.use_slaney_mel_scale:
+        corners = hz_slaney(np.linspace(mel_slaney(o.low_freq), mel_slaney(top), o.num_bins + 2))
+    else:
+        corners = 700 * np.expm1(np.linspace(mel(o.low_freq), mel(top), o.num_bins + 2) / 1127)
     at = np.arange(padded // 2 + 1) * rate / padded
-    up = (at[None, :] - corners[:-2, None]) / np.diff(corners)[:-1, None]
-    down = (corners[2:, None] - at[None, :]) / np.diff(corners)[1:, None]
-    w = np.maximum(0, np.minimum(up, down))
-    return w * (2 / (corners[2:] - corners[:-2]))[:, None] if o.norm == "slaney" else w
+    if o.floor_to_int_bin:
+        corners, at = np.trunc(corners * (padded + 1) / rate), np.arange(padded // 2 + 1.0)
+    left, centre, right = corners[:-2, None], corners[1:-1, None], corners[2:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):  # corners of one bin: no bin lies between them
+        w = np.where(at <= centre, (at - left) / (centre - left), (right - at) / (right - centre))
+        w = np.where((at > left) & (at < right), w, 0)
+        return np.where(w > 0, w * (2 / (right - left)), 0) if o.norm == "slaney" else w
 
 
 def _mels(frames: np.ndarray, fo: FrameOptions, mo: MelOptions, power: bool, raw: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -340,6 +340,64 @@ def test_packed_fft(n):
         signal.packed_rfft(np.zeros(5))
 
 
+def plain_spectrum(f):
+    """|DFT|^2 of the first half and the middle, by its definition."""
+    n = len(f)
+    return [abs(sum(x * complex(math.cos(2 * math.pi * k * i / n), -math.sin(2 * math.pi * k * i / n)) for i, x in enumerate(f))) ** 2 for k in range(n // 2 + 1)]
+
+
+def plain_frame(x, first, length, padded, shape):
+    """A frame as the options ask for by default: no offset, pre-emphasis of 0.97, a window, zeros behind."""
+    f = [x[i if 0 <= i < len(x) else (-i - 1 if i < 0 else 2 * len(x) - 1 - i)] for i in range(first, first + length)]
+    f = [v - sum(f) / length for v in f]
+    energy = math.log(sum(v * v for v in f))
+    f = [v - 0.97 * f[max(0, i - 1)] for i, v in enumerate(f)]
+    return [v * shape(2 * math.pi * i / (length - 1)) for i, v in enumerate(f)] + [0.0] * (padded - length), energy
+
+
+@pytest.mark.parametrize("snip", [True, False])
+def test_fbank_and_mfcc_by_definition(snip):
+    x = np.random.default_rng(3).normal(size=900).tolist()
+    o = signal.FrameOptions(samp_freq=8000.0, frame_length_ms=16.0, snip_edges=snip)  # 128 samples every 80
+    mel = lambda hz: 1127 * math.log(1 + hz / 700)
+    bins, rate = 7, 8000
+    edges = [mel(20) + (mel(4000) - mel(20)) * i / (bins + 1) for i in range(bins + 2)]
+    firsts = range(0, 900 - 127, 80) if snip else [80 * i + 40 - 64 for i in range((900 + 40) // 80)]
+    mels, ceps = [], []
+    for first in firsts:
+        f, energy = plain_frame(x, first, 128, 128, lambda a: (0.5 - 0.5 * math.cos(a)) ** 0.85)
+        power, row = plain_spectrum(f), []
+        for left, centre, right in zip(edges, edges[1:], edges[2:]):
+            total = 0.0
+            for k in range(64):
+                m = mel(k * rate / 128)
+                if left < m < right:
+                    total += power[k] * ((m - left) / (centre - left) if m <= centre else (right - m) / (right - centre))
+            row.append(math.log(max(total, float(np.finfo(np.float32).eps))))
+        mels.append(row)
+        dct = [math.sqrt((1 if k == 0 else 2) / bins) * sum(v * math.cos(math.pi / bins * (j + 0.5) * k) for j, v in enumerate(row)) for k in range(5)]
+        ceps.append([energy] + [v * (1 + 11 * math.sin(math.pi * k / 22)) for k, v in enumerate(dct)][1:])
+    mo = signal.MelOptions(num_bins=bins)
+    assert np.allclose(signal.fbank(np.array(x), signal.FbankOptions(frame_opts=o, mel_opts=mo)), mels, atol=1e-8)
+    assert np.allclose(signal.mfcc(np.array(x), signal.MfccOptions(frame_opts=o, mel_opts=mo, num_ceps=5)), ceps, atol=1e-8)
+
+
+@pytest.mark.parametrize("slaney", [True, False])
+@pytest.mark.parametrize("floor", [True, False])
+@pytest.mark.parametrize("norm", ["slaney", ""])
+def test_triangles_over_frequency(slaney, floor, norm):
+    up = lambda f: (f * 3 / 200 if f < 1000 else 15 + 27 * math.log(f / 1000) / math.log(6.4)) if slaney else 1127 * math.log(1 + f / 700)
+    down = lambda m: (m * 200 / 3 if m < 15 else 1000 * 6.4 ** ((m - 15) / 27)) if slaney else 700 * (math.exp(m / 1127) - 1)
+    corners = [down(up(30) + (up(8000) - up(30)) * i / 41) for i in range(42)]
+    corners = [int(c * 513 / 16000) for c in corners] if floor else corners
+    got = signal.slaney_bank(signal.MelOptions(num_bins=40, low_freq=30.0, is_librosa=True, norm=norm, use_slaney_mel_scale=slaney, floor_to_int_bin=floor), 16000.0, 512)
+    for b, (lo, mid, hi) in enumerate(zip(corners, corners[1:], corners[2:])):
+        for k in range(257):
+            at = k if floor else k * 16000 / 512
+            want = ((at - lo) / (mid - lo) if at <= mid else (hi - at) / (hi - mid)) if lo < at < hi else 0
+            assert math.isclose(got[b, k], want * (2 / (hi - lo) if norm and want else 1), abs_tol=1e-9), (b, k)
+
+
 @pytest.mark.parametrize("n_fft", [64, 256, 400, 512])
 @pytest.mark.parametrize("normalized", [False, True])
 @pytest.mark.parametrize("kind", ["hann", "hanning", "povey", ""])
