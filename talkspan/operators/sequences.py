@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -147,15 +149,24 @@ def post_process(turns: DataFrame, key: str, ordinal: str = "turn_no") -> DataFr
 # --- texts of overlapping chunks
 
 
-def alignment(tail: list[str], head: list[str], match: Callable[[str, str], bool], least: float = 0.5) -> tuple[int, int] | None:
-    """Where head begins on tail: (offset, matches) of the greatest number of matches that are `least` of the words
-    laid over each other; the earliest at a tie."""
+def overlap_word(word: str | None) -> str:
+    """Letters, decimal digits and underscores of a word in lower case and normal form C."""
+    kept = lambda c: c == "_" or unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd"
+    return "".join(filter(kept, unicodedata.normalize("NFC", (word or "").lower().strip())))
+
+
+def alignment(tail: list[str], head: list[str], match: Callable[[str, str], bool], least: float = 0.5) -> tuple[int, int, int] | None:
+    """(matches, words of tail after its last match, words of head up to its last match): head laid over tail at every
+    offset, the first one with the most matches that are `least` of the words over each other."""
+    known = {(x, y): match(x, y) for x in set(tail) for y in set(head)}
+    table = np.array([[known[x, y] for y in head] for x in tail], bool).reshape(len(tail), len(head))
     best = None
-    for off in range(len(tail)):
-        n = min(len(tail) - off, len(head))
-        hits = sum(match(tail[off + i], head[i]) for i in range(n))
-        if hits and hits >= least * n and (best is None or hits > best[1]):
-            best = (off, hits)
+    for off in range(1 - len(tail), len(head)):
+        over = np.diagonal(table, off)
+        hits = np.flatnonzero(over)
+        if len(hits) > (best[0] if best else 0) and len(hits) >= least * len(over):
+            last = int(hits[-1])
+            best = (len(hits), len(tail) - 1 - max(0, -off) - last, max(0, off) + last + 1)
     return best
 
 
@@ -172,37 +183,36 @@ def similar(a: str, b: str, least: float = 0.8) -> bool:
     return 1 - row[-1] / max(len(a), len(b)) >= least
 
 
-def stitch(chunks: list[dict], overlap_ms: int = 50) -> list[tuple]:
-    """Words (text, start, end, prob) of one text out of chunks (start_ms, end_ms, words) that overlap.
+def seam(tail: list[tuple], head: list[tuple], most: int = 100) -> tuple[int, int]:
+    """Words to drop from the end of what is there, and words of the next chunk to pass over: the words (text, start,
+    end, prob) of both in their overlap meet at the last match of their alignment, of `most` words a side.
 
-    The last words of what is there and the first of the next chunk, as far as they lie in the overlap, are aligned;
-    up to where the two differ the old words stay, and from there those with the higher mean probability. Without an
-    alignment the new chunk goes on after the overlap's middle.
+    Where words are left over behind that match on the left, or nothing matches, the surer rest stays whole: the left
+    one, and the next chunk goes on behind the overlap, or the next chunk, and all of the left's overlap goes.
     """
+    if not tail or not head:
+        return 0, 0
+    a, b = [overlap_word(w[0]) for w in tail[-most:]], [overlap_word(w[0]) for w in head[:most]]
+    found = alignment(a, b, similar)
+    hits, drop, skip = found or (0, len(tail), 0)
+    if hits and not (drop and hits < min(len(a), len(b))):
+        return drop, skip
+    mean = lambda ws: sum(w[3] for w in ws) / len(ws) if ws else 1.0
+    return (0, len(head)) if mean(tail[len(tail) - drop :]) > mean(head[skip:]) else (len(tail), 0)
+
+
+def stitch(chunks: list[dict], least_ms: int = 50, most_ms: int = 3000) -> list[tuple]:
+    """Words (text, start, end, prob) of one text out of chunks (start_ms, end_ms, words) whose neighbours overlap: by
+    seam(), over `most_ms` at most; chunks that share no more than `least_ms` follow one another."""
     out: list[tuple] = []
     before = None
     for c in chunks:
-        words = c["words"]
-        shared = 0 if before is None else before["end_ms"] - c["start_ms"]
-        if shared <= overlap_ms:
-            out.extend(words)
-        else:
-            n_tail = sum(w[1] >= before["end_ms"] - shared for w in before["words"])
-            n_tail = min(n_tail, len(out))
-            head = [w for w in words if w[1] < c["start_ms"] + shared]
-            tail = out[len(out) - n_tail :]
-            found = alignment([w[0].lower() for w in tail], [w[0].lower() for w in head], similar)
-            if found:
-                off, _ = found
-                n = min(len(tail) - off, len(head))
-                same = next((i for i in range(n) if not similar(tail[off + i][0].lower(), head[i][0].lower())), n)
-                old, new = tail[off + same : off + n], head[same:n]
-                mean = lambda ws: sum(w[3] for w in ws) / len(ws) if ws else 1.0
-                keep = len(out) - n_tail + off + (n if mean(old) >= mean(new) else same)
-                out = out[:keep] + words[n if mean(old) >= mean(new) else same :]
-            else:
-                middle = c["start_ms"] + shared / 2
-                out = [w for w in out if w[1] < middle] + [w for w in words if w[1] >= middle]
+        drop = skip = 0
+        if before is not None and before["end_ms"] - c["start_ms"] > least_ms:
+            shared = min(most_ms, before["end_ms"] - c["start_ms"])
+            drop, skip = seam([w for w in before["words"] if w[1] >= before["end_ms"] - shared], [w for w in c["words"] if w[1] < c["start_ms"] + shared])
+        out = out[: max(0, len(out) - drop)] if c["words"] else out
+        out.extend(c["words"][skip:])
         before = c
     return out
 

@@ -192,6 +192,52 @@ def test_stitching_prefers_the_surer_words():
     assert sequences.stitch([]) == []
 
 
+@given(st.lists(st.sampled_from("alpha beta gama gamma delta be ét Ét! eps 42 ...".split()), min_size=0, max_size=9), st.lists(st.sampled_from("alpha beta gamma Gamma, delta be et ét eps 4 2".split()), min_size=0, max_size=9), st.integers(0, 10**6))
+@settings(max_examples=300, deadline=None)
+def test_seams_by_the_rules(left, right, seed):
+    """Every offset and every word, one at a time."""
+    rng = random.Random(seed)
+    tail, head = ([(w, i, i, rng.choice([0.2, 0.5, 0.9])) for i, w in enumerate(ws)] for ws in (left, right))
+    plain = lambda w: "".join(c for c in w.lower() if c.isalpha() or c.isdecimal() or c == "_")
+
+    def edits(x, y):
+        return max(len(x), len(y)) if not x or not y else min(edits(x[1:], y) + 1, edits(x, y[1:]) + 1, edits(x[1:], y[1:]) + (x[0] != y[0]))
+
+    def same(x, y):
+        if x == y or not x or not y:
+            return x == y
+        return len(x) > 2 and len(y) > 2 and (x in y or y in x) or 1 - edits(x, y) / max(len(x), len(y)) >= 0.8
+
+    best, drop, skip = 0, len(tail), 0
+    for off in range(-len(tail) + 1, len(head)):
+        pairs = [(i, i + off) for i in range(len(tail)) if 0 <= i + off < len(head)]
+        hits = [(i, j) for i, j in pairs if same(plain(left[i]), plain(right[j]))]
+        if len(hits) > best and len(hits) / len(pairs) >= 0.5:
+            best, drop, skip = len(hits), len(tail) - 1 - hits[-1][0], hits[-1][1] + 1
+    if not tail or not head:
+        want = (0, 0)
+    elif best == 0 or (best < min(len(tail), len(head)) and drop > 0):
+        mean = lambda ws: np.mean([w[3] for w in ws]) if ws else 1.0
+        want = (0, len(head)) if mean(tail[len(tail) - drop :]) > mean(head[skip:]) + 1e-12 else (len(tail), 0)
+    else:
+        want = (drop, skip)
+    assert sequences.seam(tail, head) == want
+
+
+def test_stitching_by_parts():
+    w = lambda text, at, p=0.5: (text, at, at + 90, p)
+    a = {"start_ms": 0, "end_ms": 5000, "words": [w("one", 100), w("two", 1900), w("three", 2500), w("four", 4000)]}
+    b = {"start_ms": 1000, "end_ms": 6000, "words": [w("three", 2500), w("four", 3990), w("five", 5500)]}
+    assert [x[0] for x in sequences.stitch([a, b])] == ["one", "two", "three", "four", "five"]  # three seconds count, not four
+    assert [x[0] for x in sequences.stitch([a, {"start_ms": 4960, "end_ms": 9000, "words": [w("four", 4970)]}])][-2:] == ["four", "four"]  # too short an overlap
+    assert sequences.stitch([a, {"start_ms": 3000, "end_ms": 9000, "words": []}]) == a["words"]
+    assert [x[0] for x in sequences.stitch([{"start_ms": 0, "end_ms": 3000, "words": []}, b])] == ["three", "four", "five"]
+    surer = {"start_ms": 2000, "end_ms": 7000, "words": [w("other", 2100, 0.9), w("words", 4000, 0.9), w("end", 6000, 0.9)]}
+    assert [x[0] for x in sequences.stitch([a, surer])] == ["one", "two", "other", "words", "end"]
+    less = surer | {"words": [(t, s, e, 0.1) for t, s, e, _ in surer["words"]]}
+    assert [x[0] for x in sequences.stitch([a, less])] == ["one", "two", "three", "four", "end"]
+
+
 def test_joining_lists():
     parts = [list(map(str, range(0, 56))), list(map(str, range(40, 96))), list(map(str, range(80, 100)))]
     assert sequences.join_lists(parts) == list(map(str, range(100)))
