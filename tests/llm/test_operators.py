@@ -11,6 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -102,6 +103,31 @@ def test_quality_edges(spark):
     assert quality.score(docs(spark, []), quality.train(docs(spark, []), empty)).count() == 0
 
 
+def test_fit_is_the_penalised_maximum():
+    """The fitted model against plain gradient descent with numeric derivatives on the likelihood written out."""
+    rng = np.random.default_rng(0)
+    used, n = [5, 77, 1000], 160
+    on = rng.random((n, 3)) < 0.5
+    grades = np.clip(np.round(1 + on @ [1.2, -0.9, 0.2] - 0.3 + 0.7 * rng.normal(size=n)), 0, 2).astype(int)
+    l2 = 0.5
+    m = quality.fit([np.array(used, np.int32)[r] for r in on], grades, 3, l2=l2, rounds=2000, rate=0.05)
+
+    def loss(w, t):
+        total = 0.0
+        for row, k in zip(on, grades, strict=True):
+            s = sum(a for a, o in zip(w, row, strict=True) if o)
+            below = [0.0, *(1 / (1 + math.exp(s - c)) for c in t), 1.0]
+            total -= math.log(below[k + 1] - below[k])
+        return total / n + 0.5 * l2 * sum(a * a for a in w) / math.sqrt(n)
+
+    x = np.array([0.0, 0.0, 0.0, -1.0, 1.0])
+    at = lambda v: loss(v[:3], v[3:])
+    for _ in range(600):
+        x = x - 1.0 * np.array([(at(x + 1e-5 * e) - at(x - 1e-5 * e)) / 2e-5 for e in np.eye(5)])
+    assert np.allclose(m.weights[used], x[:3], atol=0.01) and np.allclose(m.thresholds, x[3:], atol=0.01)
+    assert np.count_nonzero(m.weights) == 3
+
+
 # --- 2
 
 
@@ -136,6 +162,46 @@ def test_token_spans_and_rules(spark):
     assert sum(f.tokens) == f.n_tokens and len(f.tokens) == 3
 
 
+def brute_attribution(text, ends, rule):
+    """Tokens of sections, by walking characters: a token holds those that its bytes begin, or the one they continue."""
+    enc, _ = tokencounts.encoding(tokencounts.RANKS)
+    owner = [n for n, c in enumerate(text) for _ in c.encode()]  # of each byte
+    section = lambda c: next((k for k, e in enumerate(ends) if c < e), len(ends) - 1)
+    raw, at, out = text.encode(), 0, [0.0] * len(ends)
+    for t in enc.encode_ordinary(text):
+        size = len(enc.decode_single_token_bytes(t))
+        held = sorted({owner[b] for b in range(at, at + size)})
+        at += size
+        parts = [section(c) for c in held]
+        if rule == "first":
+            out[parts[0]] += 1
+        elif rule == "most":
+            out[max(sorted(set(parts)), key=parts.count)] += 1
+        else:
+            for k in parts:
+                out[k] += 1 / len(parts)
+    assert at == len(raw)
+    return out
+
+
+@pytest.mark.parametrize("rule", tokencounts.RULES)
+def test_attribution_of_whole_texts(spark, rule):
+    """Lines and sections cut anywhere, of real texts, against a walk over their characters."""
+    rng = random.Random(13)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and length(text) < 6000").orderBy("doc_id").select("text").limit(60).collect()]
+    texts += ["日本語\n  \n\n\nétude 🎉🎉\n x", "a\n\n\n\nb\r\n\tc", "🎉日本"]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.tokens for r in tokencounts.count(docs(spark, rows), rule=rule).collect()}
+    for i, t, _ in rows:
+        ends = [n + 1 for n, c in enumerate(t) if c == "\n"] + [len(t) + 1]
+        assert np.allclose(got[i], brute_attribution(t, ends, rule)), i
+    cuts = [sorted(rng.sample(range(1, len(t) + 1), min(len(t), 7))) for t in texts]
+    d = spark.createDataFrame([(i, t, c) for (i, t, _), c in zip(rows, cuts, strict=True)], "doc_id long, text string, ends array<int>")
+    got = {r.doc_id: r.tokens for r in tokencounts.count(d, F.col("ends"), rule=rule).collect()}
+    for (i, t, _), c in zip(rows, cuts, strict=True):
+        assert np.allclose(got[i], brute_attribution(t, c, rule)), i
+
+
 # --- 3
 
 
@@ -508,6 +574,46 @@ def test_license_templates_find_themselves(spark):
     assert all(name in out[n] for n, (name, _) in enumerate(licenses.TEMPLATES))
 
 
+def plain_words(text):
+    t = regex.sub(r"[^\p{L}\p{N}\x20\x09-\x0D.+-]+|[.+-]+(?=[\x20\x09-\x0D]|$)|(?<=[\x20\x09-\x0D]|^)[.+-]+", " ", text.lower())
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+
+
+def plain_shingles(w):
+    return [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+
+def test_license_containment_by_brute_force(spark):
+    """Copies damaged more and less, anywhere in a text: best containment over all windows, and how many are retrieved."""
+    rng = random.Random(17)
+    rows = []
+    for n in range(220):
+        _, body = licenses.TEMPLATES[n % len(licenses.TEMPLATES)]
+        w = body.split()
+        for _ in range(rng.randrange(0, 1 + len(w) // 20)):
+            w[rng.randrange(len(w))] = rng.choice(["changed", "words", "here"])
+        around = [text_of(rng, rng.randrange(0, 120)) for _ in range(2)]
+        rows.append((n, f"{around[0]}\n{' '.join(w)} {around[1]}", "a"))
+    got = {r.doc_id: {x.license: (x.containment, x.start) for x in r.found} for r in licenses.scan(docs(spark, rows)).collect()}
+    sizes = {n: (1 if n == 1 else 2 ** (math.ceil(math.log2(n)) + 1)) for n in range(1, 400)}
+    table = {name: set(plain_shingles(plain_words(body))) for name, body in licenses.TEMPLATES}
+    held, found = 0, 0
+    for i, t, _ in rows:
+        s = plain_shingles(plain_words(t))
+        for name, want in table.items():
+            size = sizes[len(want)]
+            step = max(1, size // 2)
+            starts = range(0, max(len(s) - (size - step), 1), step)
+            best = max((len(want & set(s[a : a + size])) / len(want), -a - 1) for a in starts)
+            if best[0] >= licenses.CONTAINED:
+                held += 1
+                found += name in got[i]
+                assert name not in got[i] or (math.isclose(got[i][name][0], best[0]) and got[i][name][1] == -best[1])
+            else:
+                assert name not in got[i]
+    assert held > 150 and found >= 0.995 * held
+
+
 # --- 9
 
 
