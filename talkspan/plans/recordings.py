@@ -197,7 +197,7 @@ def overlapping_chunks(words: DataFrame, key: str, size_ms: int, step_ms: int) -
     return words.withColumn("chunk", F.explode(F.sequence(first, last)))
 
 
-@query()
+@query(sql("select conv_id, string_agg(tok, ' ' order by pos) as text, true as same from fx_words group by conv_id", "fx_words"))  # chunks that agree give the text again
 def chunk_stitch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations cut into chunks of 9 s every 6 s and stitched: the text again, and whether it is the same."""
     w = fx.words(spark, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talkspan.operators import segment
 from talkspan.plans import fixtures as fx
 from talkspan.plans.fixtures import sql
-from talkspan.plans.intervals import _ATTRIBUTED, attributed
+from talkspan.plans.intervals import _ATTRIBUTED, _SEGMENTS, attributed
 from talkspan.plans.registry import query
 
 
@@ -138,7 +138,17 @@ def pause_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.pause_hints(attributed(spark, sf_dir, "start_ms", "end_ms"), "conv_id")
 
 
-@query()
+_FOLDED = sql(f"""with {_SEGMENTS},
+sm as materialized (select conv_id, pos, tok, start_ms, end_ms, speaker, row_number() over (partition by conv_id order by pos) as i from sw),
+fold as (select conv_id, i, speaker, 1 as n, 0 as seg_no, false as full_ from sm where i = 1
+  union all select w.conv_id, w.i, w.speaker, case when x.new then 1 else f.n + 1 end, f.seg_no + cast(x.new as integer),
+    case when x.new then false else f.n + 1 >= 34 or (f.n + 1 >= 10 and regexp_matches(w.tok, '[.?!:]$')) end
+  from fold f join sm w on w.conv_id = f.conv_id and w.i = f.i + 1, lateral (select f.full_ or w.speaker is distinct from f.speaker as new) x)
+select conv_id, seg_no, any_value(fold.speaker) as speaker, count(*) as n_words, min_by(start_ms, i) as start_ms, max(end_ms) as end_ms, string_agg(tok, ' ' order by i) as text
+from fold join sm using (conv_id, i) group by conv_id, seg_no""", "fx_words", "fx_conv_turns")
+
+
+@query(_FOLDED.replace("with ", "with recursive ", 1))
 def writer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sentence_groups(attributed(spark, sf_dir, "tok", "start_ms", "end_ms"), "conv_id")
 
