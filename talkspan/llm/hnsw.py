@@ -6,8 +6,9 @@ the layers; on the lowest layer the search goes on through every member at the t
 width cuts off a dense neighbourhood, and what it meets there are the class's links to those before it. So a shard's
 own links come with its graph. Where a label has several shards, graphs are stored and each shard's classes query those
 of the others, once for each two. Every graph and every such query audits its recall on sampled classes' true links,
-found by brute force, and on queries turned away from their member, and widens the beam until both pass. Links are
-verified by cosine in double precision.
+found by brute force, and on queries turned away from their member, and widens the beam until both pass; a graph is
+built anew at the first width at which its predecessor passes the second audit. Links are verified by cosine in double
+precision.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from talkspan.llm.simhash import forest
 #: Classes of a shard; links of a member to those before it on a layer (twice as many with links back); ratio of a
 #: layer to the one below.
 SHARD, NEIGHBOURS, RATIO = 16384, 8, 16
-BEAM = 12
+BEAM = 24
 AUDITED, RECALL = 128, 0.995
 #: Queries that advance together, and those of the first batch of a graph.
 TOGETHER, FIRST = 512, 64
@@ -269,7 +270,9 @@ def shard_graph(v: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[Gr
         recall, turned = links.recall(which, truth), turned_recall(g, which, beam, through)
         if min(recall, turned) >= RECALL or beam >= len(v):
             return g, links, beam, recall, turned
-        beam *= 2
+        beam += beam // 2
+        while beam < len(v) and turned_recall(g, which, beam, through) < RECALL:  # an audit costs little beside a graph
+            beam += beam // 2
 
 
 _BUILT = pa.schema([
