@@ -110,6 +110,20 @@ def vbx_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.clustered(fx.windows(spark, sf_dir), "item_id", "win_no", "vbx")
 
 
+@query()
+def backend_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that two clusterings of the same windows give, side by side: backend, item_id, start_ms, end_ms, speaker."""
+    w = fx.windows(spark, sf_dir)
+    times = w.select("item_id", "win_no", "start_ms", "end_ms")
+    out = [vectors.clustered(w, "item_id", "win_no", method).withColumn("backend", F.lit(method)) for method in ("recording", "vbx")]
+    rows = out[0].unionByName(out[1]).join(times, ["item_id", "win_no"])
+    new = F.lag("label").over(Window.partitionBy("backend", "item_id").orderBy("win_no"))
+    rows = rows.withColumn("cut", F.coalesce((new != F.col("label")).cast("int"), F.lit(1)))
+    rows = rows.withColumn("run", F.sum("cut").over(Window.partitionBy("backend", "item_id").orderBy("win_no")))
+    turns = rows.groupBy("backend", "item_id", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("label").alias("speaker"))
+    return turns.drop("run")
+
+
 def projection(dim: int = 64, out: int = 32) -> vectors.Projection:
     """A fixed stand-in for trained parameters."""
     rng = np.random.RandomState(0)

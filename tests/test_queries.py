@@ -53,6 +53,25 @@ def test_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+def test_backends_side_by_side(spark):
+    """Each backend's turns are the runs of its own labels."""
+    queries = catalogue.queries()
+    got = queries["backend_compare"](spark, SF).toPandas()
+    times = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    for backend, name in (("recording", "recording_cluster"), ("vbx", "vbx_cluster")):
+        labels = queries[name](spark, SF).toPandas().sort_values(["item_id", "win_no"])
+        assert len(labels) == times
+        want, before = [], None
+        for item, win, label in labels[["item_id", "win_no", "label"]].itertuples(index=False):
+            if before == (item, label):
+                want[-1] = (item, want[-1][1], 600 * win + 1500, label)
+            else:
+                want.append((item, 600 * win, 600 * win + 1500, label))
+            before = (item, label)
+        rows = got[got.backend == backend][["item_id", "start_ms", "end_ms", "speaker"]]
+        assert sorted(want) == sorted(rows.itertuples(index=False, name=None))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
