@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import functions as F
@@ -70,6 +71,11 @@ def blocks(audio: DataFrame, key: str, size: int = 1 << 20) -> DataFrame:
     return r.select(key, "block_no", F.slice("samples", F.col("block_no") * size + 1, size).alias("samples"))
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, block: int):
         super().__init__(block)
@@ -82,19 +88,24 @@ class _PcmReader(DataSourceReader):
         self.first, self.last = int(options.get("firstblock", 0)), int(options.get("lastblock", 1 << 40))
 
     def partitions(self) -> list[InputPartition]:
-        n = -(-(os.path.getsize(self.path) // 4) // self.size)
+        store, at = _store(self.path)
+        info = store.get_file_info(at)
+        if info.type != fs.FileType.File:
+            raise FileNotFoundError(self.path)
+        n = -(-(info.size // 4) // self.size)
         return [_Range(self.path, b) for b in range(max(0, self.first), min(n, self.last + 1))]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.block * self.size * 4)
-            raw = f.read(self.size * 4)
+        store, at = _store(partition.path)
+        with store.open_input_file(at) as f:
+            raw = f.read_at(self.size * 4, partition.block * self.size * 4)
         yield partition.block, np.frombuffer(raw[: len(raw) // 4 * 4], "<f4").tolist()
 
 
 class PcmSource(DataSource):
-    """format "talkspan_pcm": block_no, samples of one raw f32 file on a file system that all executors mount. Each
-    block is a partition and reads its own bytes; options firstBlock and lastBlock bound what is read."""
+    """format "talkspan_pcm": block_no, samples of one raw f32 file, by the URI of a store that all executors reach
+    or a path that they mount. Each block is a partition and reads its own bytes; options firstBlock and lastBlock bound
+    what is read."""
 
     @classmethod
     def name(cls) -> str:

@@ -596,6 +596,8 @@ def test_audio(spark, tmp_path):
     audio.register(spark)
     b = spark.read.format("talkspan_pcm").options(path=str(tmp_path / "c.f32"), blockSize=1000).load()
     assert [len(r.samples) for r in b.orderBy("block_no").collect()] == [1000] * 3
+    uri = spark.read.format("talkspan_pcm").options(path=(tmp_path / "c.f32").as_uri(), blockSize=1000).load()
+    assert sorted(map(repr, uri.collect())) == sorted(map(repr, b.collect()))
     assert spark.read.format("talkspan_pcm").options(path=str(tmp_path / "c.f32"), blockSize=1000, firstBlock=1, lastBlock=1).load().first().block_no == 1
     assert audio.blocks(audio.read_audio(spark, str(tmp_path / "c.f32")), "path", 1024).count() == 3
     np.save(tmp_path / "v.npy", np.arange(6, dtype="<f4").reshape(2, 3))
