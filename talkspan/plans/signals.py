@@ -20,6 +20,13 @@ from talkspan.streaming import frames as streams
 RATE, LENGTH = 16_000, 4_000
 
 
+def half_away(x: np.ndarray, digits: int) -> np.ndarray:
+    """x as SQL rounds it: halves away from zero, and what rounds to zero keeps its sign, which Spark's round() drops."""
+    y = np.abs(x) * 10.0**digits
+    low = np.floor(y)
+    return np.copysign((low + (y - low >= 0.5)) / 10.0**digits, x)
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, samples: a quarter of a second of three tones, one item per customer, whose key shifts and scales them."""
     key = F.col("c_custkey").cast("long")
@@ -144,9 +151,9 @@ select item_id, win_no, list_transform(vector[1:3], lambda x: round(tanh(x), 6))
 def pluggable_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in scorer in batches, and a recurrent one along each item's windows."""
     w = fx.windows(spark, sf_dir)
-    batch = scoring.scored(w, "vector", lambda: lambda x: np.tanh(x[:, :3]))
+    batch = scoring.scored(w, "vector", lambda: lambda x: half_away(np.tanh(x[:, :3]), 6))
     carried = scoring.recurrent(w, "item_id", "win_no", "vector", lambda: 0.0, lambda s, v: ((s + v[0]) / 2, 1 / (1 + np.exp(-(s + v[0]) / 2))))
-    return batch.select("item_id", "win_no", F.transform("scores", lambda x: F.round(x, 6)).alias("scores")).join(carried.withColumn("prob", F.round("prob", 6)), ["item_id", "win_no"])
+    return batch.select("item_id", "win_no", "scores").join(carried.withColumn("prob", F.round("prob", 6)), ["item_id", "win_no"])
 
 
 def _folder(spark: SparkSession) -> str:

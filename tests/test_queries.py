@@ -86,3 +86,14 @@ def test_interval_joins_are_not_nested_loops(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalogue.queries()["library_search"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_scores_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("create table embeddings as select vec_id, cast(list_transform(range(64), lambda i: case when i = 2 then (vec_id - 3) * 1e-6 when i = 5 then 1 else 0 end) as float[]) as embedding, 0 as label from range(6) t(vec_id)")
+    con.execute(f"copy embeddings to '{tmp_path}/embeddings.parquet' (format parquet)")
+    got = catalogue.queries()["pluggable_scores"](spark, str(tmp_path)).toPandas()
+    want = con.execute(catalogue.oracle_sql()["pluggable_scores"]).df()
+    exact = lambda df: sorted((r.item_id, r.win_no, [repr(float(x)) for x in r.scores], repr(r.prob)) for r in df.itertuples())
+    assert exact(got) == exact(want)
+    assert any(x == 0 and math.copysign(1, x) < 0 for r in got.scores for x in r)
