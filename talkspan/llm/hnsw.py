@@ -4,7 +4,8 @@ Equal vectors of a label are one class. A label's classes are dealt into shards
 graph, built once, in one task: classes are inserted in batches by searching the graph as it stands, a beam descending
 the layers; on the lowest layer the search goes on through every member at the threshold or above, so that no beam
 width cuts off a dense neighbourhood, and what it meets there are the class's links to those before it. So a shard's
-own links come with its graph. Where a label has several shards, graphs are stored and each shard's classes query those
+own links come with its graph. Members that links join so far stand in a chain as well, for the nearest neighbours of a
+dense group's members may be a part of it that nothing leaves or enters. Where a label has several shards, graphs are stored and each shard's classes query those
 of the others, once for each two. Every graph and every such query audits its recall on sampled classes' true links,
 found by brute force, and on queries turned away from their member, and widens the beam until both pass; a graph is
 built anew at the first width at which its predecessor passes the second audit. Links are verified by cosine in double
@@ -30,13 +31,16 @@ BEAM = 24
 AUDITED, RECALL = 128, 0.995
 #: Queries that advance together, and those of the first batch of a graph.
 TOGETHER, FIRST = 512, 64
+#: Numbers in the blocks that a search or a choice works on: what a worker's memory holds at once, however wide the beam.
+BLOCK = 1 << 21
 #: By how much single precision may understate a cosine.
 SLACK = 1e-5
 
 
 @dataclass
 class Graph:
-    """Unit vectors (float32), and by layer from the lowest the members' links: numbers in the shard, -1 for none."""
+    """Unit vectors (float32), and by layer from the lowest the members' links: numbers in the shard, -1 for none.
+    The last two columns are a member's neighbours in its chain, on the lowest layer only."""
 
     x: np.ndarray
     links: list[np.ndarray]
@@ -80,26 +84,32 @@ def _advance(g: Graph, q: np.ndarray, level: int, beams: np.ndarray, beam: int,
             np.einsum("ij,ij->i", q[rows[a : a + 32768]], g.x[ids[a : a + 32768]], out=sims[a : a + 32768])
         hit = sims >= through
         if hit.any():
-            hits.append((rows[hit], ids[hit], sims[hit]))
+            hits.append((rows[hit].astype(np.int32), ids[hit].astype(np.int32)))
         may = sims > best_s.min(1)[rows]
         r, i, s = rows[may], ids[may], sims[may]
         who, first, count = np.unique(r, return_index=True, return_counts=True)  # rows rise
-        if len(who):
-            place = np.arange(len(r)) - np.repeat(first, count)
-            wide_s = np.full((len(who), beam + int(count.max())), -2, np.float32)
-            wide_i = np.full(wide_s.shape, -1, np.int64)
-            wide_s[:, :beam], wide_i[:, :beam] = best_s[who], best_i[who]
-            at = np.repeat(np.arange(len(who)), count)
-            wide_s[at, beam + place], wide_i[at, beam + place] = s, i
+        step = max(1, BLOCK // (beam + int(count.max(initial=0))))
+        for a in range(0, len(who), step):
+            w, many = who[a : a + step], count[a : a + step]
+            new = slice(first[a], first[a] + many.sum())
+            at = np.repeat(np.arange(len(w)), many)
+            place = beam + np.arange(first[a], new.stop) - np.repeat(first[a : a + step], many)
+            wide_s = np.full((len(w), beam + int(many.max())), -2, np.float32)
+            wide_i = np.full(wide_s.shape, -1, np.int32)
+            wide_s[:, :beam], wide_i[:, :beam] = best_s[w], best_i[w]
+            wide_s[at, place], wide_i[at, place] = s[new], i[new]
             pick = np.argpartition(-wide_s, beam - 1, axis=1)[:, :beam]
-            best_s[who], best_i[who] = np.take_along_axis(wide_s, pick, 1), np.take_along_axis(wide_i, pick, 1)
-        go = hit | (sims >= best_s.min(1)[rows])
-        near = links[ids[go]]
-        r, c = np.nonzero(near >= 0)
-        flat = fresh(rows[go][r] * n + near[r, c])
+            best_s[w], best_i[w] = np.take_along_axis(wide_s, pick, 1), np.take_along_axis(wide_i, pick, 1)
+        go = np.nonzero(hit | (sims >= best_s.min(1)[rows]))[0]
+        step, then = BLOCK // (2 * links.shape[1]), []
+        for a in range(0, len(go), step):
+            near = links[ids[go[a : a + step]]]
+            r, c = np.nonzero(near >= 0)
+            then.append(fresh(rows[go[a : a + step]][r] * n + near[r, c]))
+        flat = np.concatenate(then) if then else flat[:0]
     none = np.zeros(0, np.int64)
-    found = [np.concatenate(x) for x in zip(*hits, strict=True)] if hits else [none, none, np.zeros(0, np.float32)]
-    return found[0], found[1], best_i, best_s
+    r, i = [np.concatenate(x).astype(np.int64) for x in zip(*hits, strict=True)] if hits else (none, none)
+    return r, i, best_i, best_s
 
 
 def range_search(g: Graph, q: np.ndarray, beam: int, through: float) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +129,12 @@ def _choose(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, m: int) -> np.nda
     n, wide = cand.shape
     if wide <= m:
         return cand
+    step = max(1, BLOCK // (wide * max(wide, x.shape[1])))
+    return np.concatenate([_chosen(x, cand[a : a + step], sims[a : a + step], m) for a in range(0, max(n, 1), step)])
+
+
+def _chosen(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
+    n, wide = cand.shape
     v = x[np.maximum(cand, 0)]
     between = np.matmul(v, v.transpose(0, 2, 1))
     chosen = np.zeros((n, wide), bool)
@@ -155,12 +171,21 @@ def _link_back(x: np.ndarray, links: np.ndarray, frm: np.ndarray, to: np.ndarray
         links[w] = _choose(x, b, np.where(b >= 0, s, -2), width)
 
 
-def build(vectors: np.ndarray, beam: int, through: float, met=None, seed: int = 0, m: int = NEIGHBOURS) -> Graph:  # noqa: ANN001
-    """The graph of `vectors`; met(later, earlier) is told of every two members found at `through` or above, once."""
+def _chain(links: np.ndarray, group: np.ndarray) -> None:
+    """Members of a group, in their order, link to the one before and the one after in the last two columns."""
+    order = np.argsort(group, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = group[a] == group[b]
+    links[a[same], -1], links[b[same], -2] = b[same], a[same]
+
+
+def build(vectors: np.ndarray, beam: int, through: float, met=None, groups=None, seed: int = 0, m: int = NEIGHBOURS) -> Graph:  # noqa: ANN001
+    """The graph of `vectors`; met(later, earlier) is told of every two members found at `through` or above, once.
+    groups() tells each member's group by what was met so far."""
     n = len(vectors)
     x = (vectors / np.sqrt((vectors * vectors).sum(1))[:, None]).astype(np.float32)
     height = np.minimum(np.random.default_rng(seed).geometric(1 - 1 / RATIO, n) - 1, 8)
-    g = Graph(x, [np.full((n, 2 * m), -1, np.int32) for _ in range(int(height.max(initial=0)) + 1)], height)
+    g = Graph(x, [np.full((n, 2 * m + 2), -1, np.int32) for _ in range(int(height.max(initial=0)) + 1)], height)
     while g.size < n:
         lo = g.size
         hi = min(n, lo + min(TOGETHER, max(FIRST, lo // 2)))
@@ -190,13 +215,15 @@ def build(vectors: np.ndarray, beam: int, through: float, met=None, seed: int =
                 pick = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 cand_i, cand_s = np.concatenate((cand_i, new[up][pick]), axis=1), np.concatenate((cand_s, np.take_along_axis(s, pick, 1)), axis=1)
             chosen = _choose(x, cand_i, cand_s, m)
-            links = g.links[level]
+            links = g.links[level][:, : 2 * m]
             links[new[up], : chosen.shape[1]] = chosen
             r, c = np.nonzero(chosen >= 0)
             if len(r):
                 frm, to = new[up][r], chosen[r, c]
                 s = np.einsum("ij,ij->i", x[frm], x[to])
                 _link_back(x, links, frm, to, s)
+        if groups is not None:
+            _chain(g.links[0][:hi], groups()[:hi])
         g.size = hi
     return g
 
@@ -266,7 +293,7 @@ def shard_graph(v: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[Gr
         links = Links(v, weight, threshold)
         if truth is None:
             truth = _truth(v, links.norm, which, v, links.norm, threshold) - 1  # but itself
-        g = build(v, beam, through, links.met)
+        g = build(v, beam, through, links.met, lambda: links.label)  # noqa: B023
         recall, turned = links.recall(which, truth), turned_recall(g, which, beam, through)
         if min(recall, turned) >= RECALL or beam >= len(v):
             return g, links, beam, recall, turned

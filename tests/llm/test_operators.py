@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -720,6 +721,30 @@ def test_graph_recall(dense):
     assert len(set(zip(r.tolist(), i.tolist(), strict=True))) == len(r) and len(r) >= 0.97 * (truth[:500] + 1).sum()
 
 
+def test_pockets_of_a_dense_group():
+    """Tight pockets within a dense group, whose nearest members are all of their own pocket: no link is lost."""
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.sqrt((v * v).sum(-1, keepdims=True))
+    x = unit(rng.normal(size=(900, 64)))
+    centres = unit(unit(rng.normal(size=64)) + 0.1 * unit(rng.normal(size=(4, 64))))
+    pockets = unit(centres[:, None, :] + 0.001 * unit(rng.normal(size=(4, 60, 64)))).reshape(-1, 64)
+    v = np.concatenate((x, pockets))
+    v = v[rng.permutation(len(v))]
+    links = hnsw.Links(v, np.ones(len(v), np.int64), 0.98)
+    hnsw.build(v, hnsw.BEAM, 0.98 - hnsw.SLACK, links.met, lambda: links.label)
+    assert links.linked.sum() == (v @ v.T >= 0.98).sum() - len(v)
+
+
+def test_a_wide_beam_takes_bounded_memory():
+    x = np.random.default_rng(0).normal(size=(700, 64))
+    tracemalloc.start()
+    try:
+        hnsw.build(x, 500, 0.98)
+        assert tracemalloc.get_traced_memory()[1] < 200e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_recall_audits(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=8)).tolist(), 1) for i in range(400)]
