@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +29,35 @@ def half_away(x: np.ndarray, digits: int) -> np.ndarray:
     return np.copysign((low + (y - low >= 0.5)) / 10.0**digits, x)
 
 
+#: Items of a task, which bounds its batches as well; items whose samples are made at a time; samples of a block.
+ITEMS, AT_ONCE, BLOCK = 1024, 64, 64
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, samples: a quarter of a second of three tones, one item per customer, whose key shifts and scales them."""
-    key = F.col("c_custkey").cast("long")
-    items = fx.table(spark, sf_dir, "customer").select(key.alias("item_id"), (key % 7 + 1).cast("double").alias("gain"), (key % 50).cast("double").alias("up"))
-    tone = lambda i, f, a: a * F.sin(i * (2 * np.pi * (F.col("up") + f) / RATE))
-    x = F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: F.col("gain") * (tone(i, 233.0, 0.07) + tone(i, 701.0, 0.03) + tone(i, 1234.5, 0.01)))
-    return items.select("item_id", x.alias("samples"))
+    """item_id, samples: a quarter of a second of three tones, one item per customer, whose key shifts and scales them.
+
+    Items are dealt out before they have samples: the table's few small files would be as few tasks.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.arange(BLOCK)[None, :, None], np.arange(0, LENGTH, BLOCK)[:, None, None]
+        for b in batches:
+            for at in range(0, b.num_rows, AT_ONCE):
+                ids = b.column(0).slice(at, AT_ONCE)
+                key = ids.to_numpy(zero_copy_only=False)  # nulls are nan here, and their samples null
+                x = np.empty((len(ids), LENGTH))
+                for row, gain, up in zip(x, np.fmod(key, 7) + 1.0, np.fmod(key, 50) + 0.0, strict=True):
+                    w = 2 * np.pi * (up + np.array((233.0, 701.0, 1234.5))) / RATE
+                    a, b_ = high * w, low * w  # sin(a + b), by the sines and cosines of blocks and of places in a block
+                    left = np.concatenate((np.sin(a), np.cos(a)), 2)[:, 0] * np.tile((0.07, 0.03, 0.01), 2)
+                    right = np.concatenate((np.cos(b_), np.sin(b_)), 2)[0]
+                    row[:] = gain * (left @ right.T).ravel()[:LENGTH]
+                samples = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * LENGTH, pa.int32()), pa.array(x.ravel(), from_pandas=True))
+                yield pa.RecordBatch.from_arrays([ids, samples], ["item_id", "samples"])
+
+    items = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("item_id"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-items.count() // ITEMS))
+    return items.repartition(tasks, "item_id").mapInArrow(made, "item_id long, samples array<double>")
 
 
 #: The samples of signals(), a row each, for DuckDB.

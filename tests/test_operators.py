@@ -665,3 +665,15 @@ def test_documents(spark):
 def test_settings():
     s = Settings.of({"threads": 99, "beam": 0, "unknown": 1, "phrase_score": None})
     assert (s.threads, s.beam, s.phrase_score) == (8, 1, 1.5)
+
+
+def test_features_side_by_side(spark):
+    """Batches of several items and kernels hold what each kernel gives for each item, empty and null samples nothing."""
+    rng = np.random.default_rng(0)
+    items = {1: rng.normal(size=700).tolist(), 2: None, 3: [], 4: rng.normal(size=90).tolist(), None: rng.normal(size=500).tolist()}
+    kernels = {"a": lambda x: signal.raw_frames(x, 100, 50), "b": lambda x: signal.raw_frames(x, 40, 40)[:, :7]}
+    df = spark.createDataFrame(list(items.items()), "item_id int, samples array<double>").coalesce(1)
+    got = sorted((str(r.item_id), r.kind, r.frame_no, tuple(r.mel)) for r in signal.side_by_side(df, kernels, "kind").collect())
+    want = [(str(k), name, n, tuple(m.astype(np.float32).tolist())) for k, x in items.items() if x for name, f in kernels.items() for n, m in enumerate(f(np.array(x)))]
+    assert got == sorted(want)
+    assert signal.features(df, kernels["a"]).columns == ["item_id", "frame_no", "mel"]

@@ -7,6 +7,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -97,3 +98,21 @@ def test_scores_that_round_to_zero_keep_their_sign(spark, tmp_path):
     exact = lambda df: sorted((r.item_id, r.win_no, [repr(float(x)) for x in r.scores], repr(r.prob)) for r in df.itertuples())
     assert exact(got) == exact(want)
     assert any(x == 0 and math.copysign(1, x) < 0 for r in got.scores for x in r)
+
+
+def test_signals_are_dealt_out_and_passed_once(spark):
+    """A table of one small file is no single task; presets share one pass; frames are not exploded over their samples."""
+    from talkspan.plans import signals
+
+    assert signals.signals(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_signals_by_their_definition(spark):
+    from talkspan.plans import signals
+
+    i = np.arange(signals.LENGTH)
+    rows = signals.signals(spark, SF).where("item_id % 5 = 0").collect()
+    assert len(rows) == 30
+    for key, x in rows:
+        tones = [a * np.sin(i * (2 * np.pi * (key % 50 + f) / signals.RATE)) for f, a in ((233.0, 0.07), (701.0, 0.03), (1234.5, 0.01))]
+        assert np.abs(np.array(x) - (key % 7 + 1) * sum(tones)).max() < 1e-13
