@@ -95,9 +95,7 @@ def whisper_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def preset_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three presets side by side."""
-    s = signals(spark, sf_dir)
-    parts = [signal.features(s, partial(signal.preset_features, name=p)).withColumn("preset", F.lit(p)) for p in ("recognition", "campp", "wespeaker")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return signal.side_by_side(signals(spark, sf_dir), {p: partial(signal.preset_features, name=p) for p in ("recognition", "campp", "wespeaker")}, "preset")
 
 
 @query("select cast(c_custkey as bigint) as item_id, true as same from customer")  # what an inverse must give

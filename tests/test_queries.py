@@ -105,6 +105,8 @@ def test_signals_are_dealt_out_and_passed_once(spark):
     from talkspan.plans import signals
 
     assert signals.signals(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = lambda name: catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan("preset_features").count("customer.parquet") == 1
 
 
 def test_signals_by_their_definition(spark):
