@@ -114,10 +114,10 @@ def stft_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 select item_id, i // 30 as frame_no, sum(round(x, 6)) > 5e-7 as positive from ({_SAMPLES}) where i < {LENGTH // 30 * 30} group by all""")
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signals(spark, sf_dir).select("item_id", "samples", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LENGTH // 30 - 1).cast("long"))).alias("frame_no"))
-    part = F.slice("samples", (F.col("frame_no") * 30 + 1).cast("int"), 30)
-    total = F.aggregate(F.transform(part, lambda v: F.round(v, 6)), F.lit(0.0), lambda a, v: a + v)  # a multiple of a millionth
-    return s.select("item_id", "frame_no", (total > 5e-7).alias("positive"))
+    def kernel(x: np.ndarray) -> np.ndarray:
+        return half_away(signal.raw_frames(x, 30, 30), 6).sum(1, keepdims=True)  # multiples of a millionth
+
+    return signal.features(signals(spark, sf_dir), kernel).select("item_id", F.col("frame_no").cast("long").alias("frame_no"), (F.col("mel")[0] > 5e-7).alias("positive"))
 
 
 @query(sql("""

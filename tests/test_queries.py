@@ -107,6 +107,7 @@ def test_signals_are_dealt_out_and_passed_once(spark):
     assert signals.signals(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     plan = lambda name: catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan("preset_features").count("customer.parquet") == 1
+    assert "Generate" not in plan("raw_frames")
 
 
 def test_signals_by_their_definition(spark):
