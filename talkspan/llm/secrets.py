@@ -47,9 +47,8 @@ TOKEN = r"[A-Za-z0-9+/_-]"
 PLAIN = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[+/_-]+)"
 #: Where a token begins that is long enough and not plain.
 BEGIN = rf"(?<!{TOKEN})(?={TOKEN}{{{MIN_TOKEN}}})(?!{PLAIN}(?!{TOKEN}))"
-#: Characters that a cell of the test of uniformity expects at least; styles of decoys, and lengths of a document's
-#: tokens that give it decoys.
-PER_CELL, STYLES, LENGTHS = 3, 4, 8
+#: Characters that a cell of the test of uniformity expects at least; styles of decoys.
+PER_CELL, STYLES = 3, 4
 #: Decoys of a class of length from which its own null is taken; fewer take that of all classes, and so few the fixed one
 #: (mean and deviation of log(h / n) among decoys of invented prose).
 OWN_NULL, ANY_NULL, FIXED_NULL = 200, 30, (-1.15, 0.45)
@@ -199,6 +198,14 @@ def _ordinary(text: Column, style: int) -> Column:
     return F.array_join(F.transform(words, F.initcap), "") if style == 0 else F.array_join(numbered, ("", "", "-", "/")[style])
 
 
+def _decoys(text: Column, found: Column) -> Column:
+    """A stretch of each style's run for each length that the text's tokens have; the lengths add up to no more than the text's."""
+    sizes = F.array_distinct(F.transform(found, lambda t: t["end"] - t["start"]))
+    place = lambda run, n: F.pmod(F.xxhash64(text, n), F.length(run) - n + 1).cast("int") + 1
+    cut = lambda run: F.transform(F.filter(sizes, lambda n: n <= F.length(run)), lambda n: run.substr(place(run, n), n))
+    return F.flatten(F.transform(F.array(*[_ordinary(text, i) for i in range(STYLES)]), cut))
+
+
 def scan(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
     """doc_id, spans array<struct<start,end,kind int,name>>: a row for each row of docs (doc_id, text).
 
@@ -214,10 +221,7 @@ def scan(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
     tokens = find_all(F.col("text"), f"({BEGIN}{TOKEN}+)", BEGIN, MIN_TOKEN)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("base", F.concat(*kinds)).withColumn("found", tokens)
-    sizes = F.slice(F.array_distinct(F.transform("found", lambda t: t["end"] - t["start"])), 1, LENGTHS)
-    place = lambda run, n: F.pmod(F.xxhash64("text", n), F.length(run) - n + 1).cast("int") + 1
-    cut = lambda run: F.transform(F.filter(sizes, lambda n: n <= F.length(run)), lambda n: run.substr(place(run, n), n))
-    decoys = F.when(F.size("found") > 0, F.flatten(F.transform(F.array(*[_ordinary(F.col("text"), i) for i in range(STYLES)]), cut)))
+    decoys = F.when(F.size("found") > 0, _decoys(F.col("text"), F.col("found")))
     # a row's own mark, so that repeated rows and null ids stay apart: rows that agree in id and text are alike
     rows = stored(rows.select("doc_id", F.xxhash64("text").alias("row_key"), "base", F.col("found").alias("tokens"), decoys.alias("decoys")))
     once = rows.where(F.size("tokens") > 0).dropDuplicates(["doc_id", "row_key"])

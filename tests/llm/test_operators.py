@@ -745,6 +745,16 @@ def test_a_wide_beam_takes_bounded_memory():
         tracemalloc.stop()
 
 
+def test_every_length_of_token_has_decoys(spark):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcdefABCDEF0123456789xyzXYZ", k=n)) for n in range(16, 36)) + " " + text_of(rng, 300)
+    rows = docs(spark, [(1, text, "a")])
+    found = secrets.find_all(F.col("text"), f"({secrets.BEGIN}{secrets.TOKEN}+)", secrets.BEGIN, secrets.MIN_TOKEN)
+    (r,) = rows.withColumn("found", found).select(secrets._decoys(F.col("text"), F.col("found")).alias("d"), "found").collect()
+    lengths = {s.end - s.start for s in r.found}
+    assert len(lengths) > 8 and {len(d) for d in r.d} == lengths and len(r.d) == secrets.STYLES * len(lengths)
+
+
 def test_recall_audits(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=8)).tolist(), 1) for i in range(400)]
