@@ -169,7 +169,8 @@ def with_h(tokens: DataFrame) -> DataFrame:
 def findings(tokens: DataFrame, decoys: DataFrame, fdr: float) -> DataFrame:
     """Rows of with_h(tokens) for which Benjamini-Hochberg rejects "ordinary" within their class of length."""
     score = F.log(F.col("h") / F.col("n"))
-    by_class = decoys.groupBy("length_class").agg(F.count("*").alias("m"), F.sum(score).alias("s"), F.sum(score * score).alias("q"))  # 17 rows at most
+    # both tables of a few rows are stored: else the battery's plan stands in the driver again at each of their uses
+    by_class = stored(decoys.groupBy("length_class").agg(F.count("*").alias("m"), F.sum(score).alias("s"), F.sum(score * score).alias("q")))  # 17 rows at most
     total = by_class.agg(F.sum("m").alias("tm"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
     classes = tokens.sparkSession.range(17).select(F.col("id").cast("int").alias("length_class"))
     null = classes.join(F.broadcast(by_class), "length_class", "left").join(F.broadcast(total))
@@ -183,7 +184,7 @@ def findings(tokens: DataFrame, decoys: DataFrame, fdr: float) -> DataFrame:
     w = Window.partitionBy("length_class")
     below, every = F.sum("m").over(w.orderBy("step")), F.sum("m").over(w)
     passed = F.pow(F.lit(10.0), F.col("step") / STEPS) <= below / every * fdr
-    cuts = counts.select("length_class", F.when(passed, F.col("step")).alias("step")).groupBy("length_class").agg(F.max("step").alias("cut"))
+    cuts = stored(counts.select("length_class", F.when(passed, F.col("step")).alias("step")).groupBy("length_class").agg(F.max("step").alias("cut")))
     return stepped.join(F.broadcast(cuts), "length_class").where("step <= cut")
 
 

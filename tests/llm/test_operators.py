@@ -755,6 +755,16 @@ def test_every_length_of_token_has_decoys(spark):
     assert len(lengths) > 8 and {len(d) for d in r.d} == lengths and len(r.d) == secrets.STYLES * len(lengths)
 
 
+def test_the_scans_last_plan_holds_no_battery(spark):
+    """The driver's memory grows with its plans: what the battery gives is stored, not planned again at each use."""
+    rng = random.Random(6)
+    token = lambda: "".join(rng.choices("abcdefABCDEF0123456789xyzXYZ", k=24))
+    out = secrets.scan(docs(spark, [(i, f"{text_of(rng, 20)} {token()} {text_of(rng, 20)}", "a") for i in range(40)]))
+    plan = out._jdf.queryExecution().toString()
+    assert "instr(" not in plan and len(plan) < 100_000
+    assert out.count() == 40
+
+
 def test_recall_audits(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=8)).tolist(), 1) for i in range(400)]
